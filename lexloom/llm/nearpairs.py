@@ -16,6 +16,7 @@ Cases: null and empty texts and texts of fewer than ``least_words`` words have n
 hash; repeated rows are copies of each other.
 """
 
+import itertools
 import math
 import zlib
 
@@ -24,79 +25,119 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.words import mixed, shingles, word_hashes
+from lexloom.llm.words import WORD, hashes, mixed, shingles, word_hashes
 from lexloom.operators.cluster import arrow_map, durable
 
 SHINGLE, SHARE, LEAST_WORDS = 3, 0.7, 30
-SKETCH = 1 << 19  #: counters of the sketch: 2 MB, whatever the data
-PARTS = 16  #: pieces a sketch is added up in
+SKETCH = 1 << 22  #: counters of the sketch, whatever the data; as ranks of one byte each it is 4 MB
+PARTS = 64  #: pieces a sketch is added up in
+HELD = 4_000_000  #: shingles a task holds before it counts them
 EXPAND = 4096  #: largest product of two classes' sizes that is expanded
 SMALL = 4_000_000  #: ids (32 MB) up to which a side is broadcast
 
 
-def _class_keys(h: np.ndarray, seed: int) -> tuple[int, int]:
-    """128 bits of a sequence of words, as two signed numbers."""
-    place = np.arange(len(h), dtype=np.uint64)
-    a = mixed(h + place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-    return int(np.add.reduce(a)) - 2**63, int(np.add.reduce(mixed(a ^ np.uint64(0x5851F42D4C957F2D)))) - 2**63
+class Batch:
+    """The records of a batch that count: their words' hashes, end to end, and the keys of their classes."""
+
+    def __init__(self, tbl: list[str], texts: list[str | None]):
+        words = [WORD.findall(t.lower()) if t else () for t in texts]
+        self.rows = [k for k, w in enumerate(words) if len(w) >= LEAST_WORDS]
+        words = [words[k] for k in self.rows]
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.flat = np.fromiter(map(hashes.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(self.lengths.sum()))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.salts = np.array([zlib.crc32(tbl[k].encode()) for k in self.rows], np.uint64)
+        if self.rows:
+            place = (np.arange(len(self.flat)) - np.repeat(self.starts, self.lengths)).astype(np.uint64)
+            x = mixed(self.flat + place * np.uint64(0x9E3779B97F4A7C15) + np.repeat(self.salts, self.lengths))
+            self.a = np.add.reduceat(x, self.starts).view(np.int64)
+            self.b = np.add.reduceat(mixed(x ^ np.uint64(0x5851F42D4C957F2D)), self.starts).view(np.int64)
+
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the shingles, the record of each), with repetitions."""
+        record = np.repeat(np.arange(len(self.rows)), self.lengths)
+        s = shingles(self.flat, SHINGLE)
+        fine = record[: len(s)] == record[SHINGLE - 1 :]
+        return s[fine], record[: len(s)][fine]
 
 
 def survey(df: DataFrame) -> DataFrame:
     """kind 0: tbl, row_id, a, b (the class's key), of each record that counts; kind 1: part, counts of the shingles."""
 
     def run(batches):
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch, held, size = np.zeros(SKETCH, np.int32), [], 0
+
+        def count():
+            if held:
+                sketch[:] += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
+                held.clear()
+
         for batch in batches:
-            tbl, ids, keys, seen = [], [], [], []
-            for t, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                h = word_hashes(text or "")
-                if len(h) < LEAST_WORDS:
-                    continue
-                tbl.append(t)
-                ids.append(i)
-                keys.append(_class_keys(h, zlib.crc32(t.encode())))
-                seen.append(shingles(h, SHINGLE))
-            if seen:
-                sketch += np.bincount((np.concatenate(seen) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int8()), pa.array(tbl, pa.string()), pa.array(ids, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(n, pa.binary())], ["kind", "tbl", "row_id", "a", "b", "counts"])
+            tbl = batch.column(0).to_pylist()
+            got = Batch(tbl, batch.column(2).to_pylist())
+            n = len(got.rows)
+            if not n:
+                continue
+            held.append((got.shingles()[0] % np.uint64(SKETCH)).astype(np.int64))
+            size += len(held[-1])
+            if size > HELD:
+                count()
+                size = 0
+            take = pa.array(got.rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int8()), batch.column(0).take(take), batch.column(1).take(take), pa.array(got.a), pa.array(got.b), pa.nulls(n, pa.binary())], ["kind", "tbl", "row_id", "a", "b", "counts"])
+        count()
         if sketch.any():
-            pieces = np.split(sketch.astype("<i4"), PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * PARTS, pa.int8()), pa.nulls(PARTS, pa.string()), pa.array(range(PARTS), pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["kind", "tbl", "row_id", "a", "b", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([1] * PARTS, pa.int8()), pa.nulls(PARTS, pa.string()), pa.array(range(PARTS), pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.array([_packed(p) for p in np.split(sketch, PARTS)], pa.binary())], ["kind", "tbl", "row_id", "a", "b", "counts"])
 
     return arrow_map(df.select("tbl", "row_id", "text"), run, "kind tinyint, tbl string, row_id bigint, a bigint, b bigint, counts binary")
 
 
-def _added(surveyed: DataFrame) -> np.ndarray:
-    """The sketch of all: SKETCH counters, added up on the executors."""
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters by planes of their bytes, which are mostly zeros."""
+    return zlib.compress(np.ascontiguousarray(np.minimum(counts, 2**31 - 1).astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view("<i4")[:, 0].astype(np.int64)
 
-    def add(key, table):
-        total = np.zeros(SKETCH // PARTS, np.int64)
-        for x in table.column("counts").to_pylist():
-            total += np.frombuffer(x, "<i4")
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
 
-    # first within a partition, so that one task never holds more than one partition's counts
-    def within(batches):
+def _added(surveyed: DataFrame) -> np.ndarray:
+    """The sketch of all as SKETCH ranks of one byte: the logarithms of the counters, which are added up on the executors."""
+
+    def within(batches):  # first within a partition, so that a part's sum reads one row a partition
         totals: dict[int, np.ndarray] = {}
         for b in batches:
             for part, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                now = np.frombuffer(x, "<i4").astype(np.int64)
-                totals[part] = totals[part] + now if part in totals else now
+                totals[part] = totals[part] + _unpacked(x) if part in totals else _unpacked(x)
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int64()), pa.array([np.minimum(x, 2**31 - 1).astype("<i4").tobytes() for x in totals.values()], pa.binary())], ["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int64()), pa.array([_packed(x) for x in totals.values()], pa.binary())], ["part", "counts"])
+
+    def add(key, batches):
+        total = np.zeros(SKETCH // PARTS, np.int64)
+        for b in batches:
+            for x in b.column("counts").to_pylist():
+                total += _unpacked(x)
+        ranks = np.minimum(255, 10 * np.log2(1 + total)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([ranks.tobytes()], pa.binary())], ["part", "ranks"])
 
     parts = arrow_map(surveyed.where("kind = 1").select(F.col("row_id").alias("part"), "counts"), within, "part bigint, counts binary")
-    rows = parts.groupBy("part").applyInArrow(add, "part bigint, counts binary").collect()
-    out = np.zeros(SKETCH, np.int32)
-    for r in rows:
-        out[r.part * (SKETCH // PARTS) : (r.part + 1) * (SKETCH // PARTS)] = np.frombuffer(r.counts, "<i4")
+    grouped = parts.groupBy("part").applyInArrow(_summed(add), "part bigint, ranks binary")
+    out = np.zeros(SKETCH, np.uint8)
+    for r in grouped.collect():
+        out[r.part * (SKETCH // PARTS) : (r.part + 1) * (SKETCH // PARTS)] = np.frombuffer(r.ranks, np.uint8)
     return out
 
 
+def _summed(add):
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(add(key, table.to_batches()))
+
+    return one
+
+
 def prefix_length(size: int, share: float) -> int:
     """How many of the rarest shingles a set must show so that no set with that share in common is missed."""
-    return size - math.ceil(share * size) + 1
+    return size - math.ceil(share * size - 1e-9) + 1
 
 
 def least_overlap(a: int, b: int, share: float) -> int:
@@ -110,35 +151,33 @@ def prefixes(df: DataFrame, counts: np.ndarray, share: float) -> DataFrame:
     def run(batches):
         order, known = sent.value, set()  # copies within a task are sent once
         for batch in batches:
-            hs, keys, sizes, places, ranges = [], [], [], [], []
-            for t, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = word_hashes(text or "")
-                if len(words) < LEAST_WORDS:
-                    continue
-                salt = zlib.crc32(t.encode())
-                key = _class_keys(words, salt)[0]
-                if key in known:
-                    continue
-                if len(known) >= 1_000_000:
-                    known.clear()
+            got = Batch(batch.column(0).to_pylist(), batch.column(2).to_pylist())
+            if not got.rows:
+                continue
+            fresh = np.ones(len(got.rows), bool)
+            for k, key in enumerate(got.a.tolist()):
+                fresh[k] = key not in known
                 known.add(key)
-                s = np.unique(shingles(words, SHINGLE))
-                n = len(s)
-                k = prefix_length(n, share)
-                rank = order[(s % np.uint64(SKETCH)).astype(np.int64)]
-                first = np.lexsort((s, rank))[:k] if k < n else np.lexsort((s, rank))
-                by = np.bincount((s >> np.uint64(62)).astype(np.int64), minlength=4)
-                hs.append(mixed(s[first] ^ np.uint64(salt)).view(np.int64))
-                keys.append(np.full(k, key, np.int64))
-                sizes.append(np.full(k, n, np.int32))
-                places.append(np.arange(k, dtype=np.int32))
-                packed = 0
-                for c in by if by.max() < 2**15 else ():
-                    packed = packed << 16 | int(c)
-                ranges.append(np.full(k, packed, np.int64))
-            if hs:
-                columns = [np.concatenate(x) for x in (hs, keys, sizes, places, ranges)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "a", "size", "place", "ranges"])
+            if len(known) > 1_000_000:
+                known.clear()
+            s, record = got.shingles()
+            new = fresh[record]
+            s, record = s[new], record[new]
+            rank = order[(s % np.uint64(SKETCH)).astype(np.int64)]
+            by = np.lexsort((s, record.astype(np.int64) << 8 | rank))
+            s, record = s[by], record[by]
+            once = np.ones(len(s), bool)  # a set: equal shingles of a record are neighbours
+            once[1:] = (s[1:] != s[:-1]) | (record[1:] != record[:-1])
+            s, record = s[once], record[once]
+            sizes = np.bincount(record, minlength=len(got.rows))
+            place = np.arange(len(s)) - (np.cumsum(sizes) - sizes)[record]
+            quarters = np.bincount(record * 4 + (s >> np.uint64(62)).astype(np.int64), minlength=4 * len(got.rows)).reshape(-1, 4)
+            packed = np.where(quarters.max(1) < 2**15, quarters @ np.array([1 << 48, 1 << 32, 1 << 16, 1]), 0)
+            length = sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1
+            first = place < length[record]
+            s, record, place = s[first], record[first], place[first]
+            columns = [mixed(s ^ got.salts[record]).view(np.int64), got.a[record], sizes[record].astype(np.int32), place.astype(np.int32), packed[record]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "a", "size", "place", "ranges"])
 
     return arrow_map(df.select("tbl", "row_id", "text"), run, "h bigint, a bigint, size int, place int, ranges bigint")
 
@@ -146,7 +185,8 @@ def prefixes(df: DataFrame, counts: np.ndarray, share: float) -> DataFrame:
 def candidates(rows: DataFrame, share: float) -> DataFrame:
     """x, y (halves of class keys, x < y): pairs that the filters leave of the prefixes ``rows``."""
     w = Window.partitionBy("h")
-    shared = durable(rows.withColumns({"low": F.min("a").over(w), "high": F.max("a").over(w)}).where("low != high").drop("low", "high").distinct())
+    once = rows.withColumn("before", F.lag("a").over(w.orderBy("a"))).where("before is null or before != a").drop("before")
+    shared = durable(once.withColumn("n", F.count("*").over(w)).where("n > 1").drop("n"))
     x, y = shared.toDF("h", "x", "sx", "px", "rx"), shared.toDF("h", "y", "sy", "py", "ry")
     need = F.ceil(F.lit(share / (1 + share)) * (F.col("sx") + F.col("sy")) - 1e-9)
     length = (F.col("sx") >= F.ceil(share * F.col("sy") - 1e-9)) & (F.col("sy") >= F.ceil(share * F.col("sx") - 1e-9))

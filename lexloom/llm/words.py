@@ -21,13 +21,13 @@ class Hashes(dict):
         return h
 
 
-_hashes = Hashes()
+hashes = Hashes()
 
 
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of a text's words, in order."""
     words = WORD.findall(text.lower())
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
