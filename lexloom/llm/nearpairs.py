@@ -3,8 +3,9 @@
 An exact similarity join by prefix filtering. Copies (the same words in the same order) are one class first. A first
 pass counts the shingles of all records in a sketch of fixed size, which orders shingles from rare to frequent; it only
 decides how much work there is, the order being the same for all. Of each class the rarest shingles, as many as a similar partner cannot all lack,
-are its prefix. Classes that share a prefix shingle meet in a join, where the length filter, the positional filter and
-the suffix filter (counts of each set by hash range bound the distance from below) drop most; what is left is verified
+are its prefix; by the size of the sets, prefixes are longer, and two classes must share not one but several of their
+shingles (their prefix n-gram). Classes that share prefix shingles meet in a join, where the length filter, the positional filter and
+the suffix filter (bitmaps bound the distance of the sets from below) drop most; what is left is verified
 once per pair on the whole texts.
 
 Prefix shingles that one class alone has are dropped before the join by a window over the shuffled prefixes, so the
@@ -17,7 +18,6 @@ hash; repeated rows are copies of each other.
 """
 
 import itertools
-import math
 import zlib
 
 import numpy as np
@@ -31,6 +31,9 @@ from lexloom.operators.cluster import arrow_map, durable
 SHINGLE, SHARE, LEAST_WORDS = 3, 0.7, 30
 SKETCH = 1 << 22  #: counters of the sketch, whatever the data; as ranks of one byte each it is 4 MB
 PARTS = 64  #: pieces a sketch is added up in
+MAPS = ("m0", "m1")  #: bitmaps of a set, 64 bits each
+LARGEST_MAPPED = 160  #: size of the largest sets that have bitmaps
+MORE = 30  #: for so many shingles of a set, its prefix has one more, and similar sets share one more of the prefix
 HELD = 4_000_000  #: shingles a task holds before it counts them
 EXPAND = 4096  #: largest product of two classes' sizes that is expanded
 SMALL = 4_000_000  #: ids (32 MB) up to which a side is broadcast
@@ -135,17 +138,21 @@ def _summed(add):
     return one
 
 
-def prefix_length(size: int, share: float) -> int:
-    """How many of the rarest shingles a set must show so that no set with that share in common is missed."""
-    return size - math.ceil(share * size - 1e-9) + 1
+def _bitmaps(s: np.ndarray, record: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """64 * len(MAPS) bits a set: the parity of its shingles by hash. Two sets differ in no fewer shingles than their maps in bits.
 
-
-def least_overlap(a: int, b: int, share: float) -> int:
-    return math.ceil(share / (1 + share) * (a + b) - 1e-9)
+    Sets too large for their maps to tell anything have zeros, which no filter looks at.
+    """
+    spots = len(MAPS) * 64
+    cell = record * spots + (mixed(s) % np.uint64(spots)).astype(np.int64)
+    odd = np.bincount(cell, minlength=spots * len(sizes)) & 1
+    words = np.packbits(odd.astype(np.uint8).reshape(-1, 8), axis=1).reshape(len(sizes), len(MAPS), 8).view(">u8")[:, :, 0].astype(np.uint64).view(np.int64)
+    words = np.where((sizes <= LARGEST_MAPPED)[:, None], words, 0)
+    return [np.ascontiguousarray(words[:, k]) for k in range(len(MAPS))]
 
 
 def prefixes(df: DataFrame, counts: np.ndarray, share: float) -> DataFrame:
-    """h (a shingle), a (half of the class's key), size, place (of h in the order), ranges (counts by hash range): the prefixes."""
+    """h (a shingle), a (half of the class's key), size, place (of h in the order), MAPS: the prefixes."""
     sent = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
@@ -171,32 +178,31 @@ def prefixes(df: DataFrame, counts: np.ndarray, share: float) -> DataFrame:
             s, record = s[once], record[once]
             sizes = np.bincount(record, minlength=len(got.rows))
             place = np.arange(len(s)) - (np.cumsum(sizes) - sizes)[record]
-            quarters = np.bincount(record * 4 + (s >> np.uint64(62)).astype(np.int64), minlength=4 * len(got.rows)).reshape(-1, 4)
-            packed = np.where(quarters.max(1) < 2**15, quarters @ np.array([1 << 48, 1 << 32, 1 << 16, 1]), 0)
-            length = sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1
+            bitmaps = _bitmaps(s, record, sizes)
+            length = np.minimum(sizes, sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1 + sizes // MORE)
             first = place < length[record]
             s, record, place = s[first], record[first], place[first]
-            columns = [mixed(s ^ got.salts[record]).view(np.int64), got.a[record], sizes[record].astype(np.int32), place.astype(np.int32), packed[record]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "a", "size", "place", "ranges"])
+            columns = [mixed(s ^ got.salts[record]).view(np.int64), got.a[record], sizes[record].astype(np.int32), place.astype(np.int32), *(m[record] for m in bitmaps)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "a", "size", "place", *MAPS])
 
-    return arrow_map(df.select("tbl", "row_id", "text"), run, "h bigint, a bigint, size int, place int, ranges bigint")
+    return arrow_map(df.select("tbl", "row_id", "text"), run, "h bigint, a bigint, size int, place int, " + ", ".join(f"{m} bigint" for m in MAPS))
 
 
 def candidates(rows: DataFrame, share: float) -> DataFrame:
     """x, y (halves of class keys, x < y): pairs that the filters leave of the prefixes ``rows``."""
     w = Window.partitionBy("h")
     once = rows.withColumn("before", F.lag("a").over(w.orderBy("a"))).where("before is null or before != a").drop("before")
-    shared = durable(once.withColumn("n", F.count("*").over(w)).where("n > 1").drop("n"))
-    x, y = shared.toDF("h", "x", "sx", "px", "rx"), shared.toDF("h", "y", "sy", "py", "ry")
+    shared = once.withColumn("n", F.count("*").over(w)).where("n > 1").drop("n")
+    x, y = (shared.toDF("h", side, f"s{side}", f"p{side}", *(f"{m}{side}" for m in MAPS)) for side in "xy")
     need = F.ceil(F.lit(share / (1 + share)) * (F.col("sx") + F.col("sy")) - 1e-9)
     length = (F.col("sx") >= F.ceil(share * F.col("sy") - 1e-9)) & (F.col("sy") >= F.ceil(share * F.col("sx") - 1e-9))
-    position = F.least("px", "py") + 1 + F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py")) - 1 >= need
-    apart = None
-    for k in range(4):
-        d = F.abs(F.shiftrightunsigned("rx", 16 * k).bitwiseAND(0xFFFF) - F.shiftrightunsigned("ry", 16 * k).bitwiseAND(0xFFFF))
-        apart = d if apart is None else apart + d
-    suffix = (F.col("rx") == 0) | (F.col("ry") == 0) | (apart <= F.col("sx") + F.col("sy") - 2 * need)
-    return x.join(y, "h").where((F.col("x") < F.col("y")) & length & position & suffix).select("x", "y").distinct()
+    position = F.least("px", "py") + F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py")) >= need
+    apart = sum((F.bit_count(F.col(f"{m}x").bitwiseXOR(F.col(f"{m}y"))) for m in MAPS), F.lit(0))
+    unmapped = (F.greatest("sx", "sy") > LARGEST_MAPPED) & (F.least("sx", "sy") > 0)
+    suffix = unmapped | (apart <= F.col("sx") + F.col("sy") - 2 * need)
+    met = x.join(y, "h").where((F.col("x") < F.col("y")) & length & position & suffix)
+    count = met.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.floor(F.least("sx", "sy") / MORE) + 1).alias("least"))
+    return count.where("n >= least").select("x", "y")
 
 
 def jaccard(x: str, y: str) -> float:
