@@ -33,7 +33,7 @@ SKETCH = 1 << 22  #: counters of the sketch, whatever the data; as ranks of one
 PARTS = 64  #: pieces a sketch is added up in
 MAPS = ("m0", "m1")  #: bitmaps of a set, 64 bits each
 LARGEST_MAPPED = 160  #: size of the largest sets that have bitmaps
-MORE = 30  #: for so many shingles of a set, its prefix has one more, and similar sets share one more of the prefix
+LARGE, SHARED = 90, 3  #: sets of at least LARGE shingles have longer prefixes, of which two similar ones share SHARED
 HELD = 4_000_000  #: shingles a task holds before it counts them
 EXPAND = 4096  #: largest product of two classes' sizes that is expanded
 SMALL = 4_000_000  #: ids (32 MB) up to which a side is broadcast
@@ -179,7 +179,7 @@ def prefixes(df: DataFrame, counts: np.ndarray, share: float) -> DataFrame:
             sizes = np.bincount(record, minlength=len(got.rows))
             place = np.arange(len(s)) - (np.cumsum(sizes) - sizes)[record]
             bitmaps = _bitmaps(s, record, sizes)
-            length = np.minimum(sizes, sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1 + sizes // MORE)
+            length = np.minimum(sizes, sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + np.where(sizes >= LARGE, SHARED, 1))
             first = place < length[record]
             s, record, place = s[first], record[first], place[first]
             columns = [mixed(s ^ got.salts[record]).view(np.int64), got.a[record], sizes[record].astype(np.int32), place.astype(np.int32), *(m[record] for m in bitmaps)]
@@ -200,9 +200,12 @@ def candidates(rows: DataFrame, share: float) -> DataFrame:
     apart = sum((F.bit_count(F.col(f"{m}x").bitwiseXOR(F.col(f"{m}y"))) for m in MAPS), F.lit(0))
     unmapped = (F.greatest("sx", "sy") > LARGEST_MAPPED) & (F.least("sx", "sy") > 0)
     suffix = unmapped | (apart <= F.col("sx") + F.col("sy") - 2 * need)
-    met = x.join(y, "h").where((F.col("x") < F.col("y")) & length & position & suffix)
-    count = met.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.floor(F.least("sx", "sy") / MORE) + 1).alias("least"))
-    return count.where("n >= least").select("x", "y")
+    # the smaller set of a pair shares more of itself, so what is shared begins earlier in it
+    early = [F.col(f"s{k}") - F.ceil(F.lit(2 * share / (1 + share)) * F.col(f"s{k}") - 1e-9) + F.when(F.col(f"s{k}") >= LARGE, SHARED).otherwise(1) for k in "xy"]
+    indexed = ((F.col("sx") > F.col("sy")) | (F.col("px") < early[0])) & ((F.col("sy") > F.col("sx")) | (F.col("py") < early[1]))
+    met = x.join(y, "h").where((F.col("x") < F.col("y")) & length & indexed & position & suffix)
+    votes = F.when(F.least("sx", "sy") >= LARGE, 1).otherwise(SHARED)
+    return met.groupBy("x", "y").agg(F.sum(votes).alias("n")).where(F.col("n") >= SHARED).select("x", "y")
 
 
 def jaccard(x: str, y: str) -> float:
