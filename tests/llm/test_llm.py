@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import defaultdict
 
@@ -67,6 +68,43 @@ def test_residue_spreads(spark):
     assert got == {1: "trusted", 2: "spread"}
 
 
+def _connected(pairs):
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    return lambda a, b: find(a) == find(b)
+
+
+def _alike(texts):
+    sets = [set(residue.features(t).tolist()) for t in texts]
+    return {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= residue.ALIKE * len(sets[a] | sets[b])}
+
+
+def test_all_pairs_of_a_simhash_bucket(spark, monkeypatch):
+    monkeypatch.setattr(residue, "BLOCK", 16, raising=False)  # block against block
+    r = random.Random(11)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
+    texts = [" ".join(r.choice(words) for _ in range(40)) for _ in range(80)]
+    texts += [t + " wxx" for t in texts[:20]]  # alike, with others between them in the bucket
+    # texts of the same phrases, whose rarest shingles many others have
+    phrases = [" ".join(r.choice(words) for _ in range(30)) for _ in range(8)]
+    for chosen in itertools.combinations(phrases, 6):
+        texts += [" ".join(chosen).replace(" ", f" x{chr(97 + k)} ", k) for k in range(3)]
+    r.shuffle(texts)
+    # one bucket in each table: all hashes equal, so the order is that of the ids
+    df = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "class_id bigint, simhash bigint, masked string")
+    truth = _alike(texts)
+    got = {(x.a, x.b) for x in residue.near_pairs(df).collect()}
+    one = _connected(got)
+    assert len(truth) > 100 and got <= truth and all(one(a, b) for a, b in truth)
+
+
 @pytest.mark.parametrize(("text", "kind"), [
     ("We may change these terms.", "prose"), ("- one thing\n- two things\n- three things", "list"), ("a | b | c\n1 | 2 | 3\n4 | 5 | 6", "table"), ("if(!a.b)c.push(d[3]);var e=function(f){return g.h||2};", "junk"),
     ("", "prose"), ("当社は記録を保存します。", "prose"), ("KEEP ALL RECORDS FOR A YEAR.", "prose"),
