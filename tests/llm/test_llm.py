@@ -105,6 +105,21 @@ def test_all_pairs_of_a_simhash_bucket(spark, monkeypatch):
     assert len(truth) > 100 and got <= truth and all(one(a, b) for a, b in truth)
 
 
+def test_recall_near_the_least_similarity(spark):
+    r = random.Random(12)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
+    texts = []
+    for _ in range(40):
+        t = [r.choice(words) for _ in range(100)]
+        texts.append(" ".join(t))
+        t[20], t[60] = "xx", "yy"  # 86 of 106 shingles are common
+        texts.append(" ".join(t))
+    truth = _alike(texts)
+    df = spark.createDataFrame([(k, residue.simhash(residue.features(t)) - 2**63, t) for k, t in enumerate(texts)], "class_id bigint, simhash bigint, masked string")
+    one = _connected((x.a, x.b) for x in residue.near_pairs(df).collect())
+    assert len(truth) == 40 and all(one(a, b) for a, b in truth)
+
+
 @pytest.mark.parametrize(("text", "kind"), [
     ("We may change these terms.", "prose"), ("- one thing\n- two things\n- three things", "list"), ("a | b | c\n1 | 2 | 3\n4 | 5 | 6", "table"), ("if(!a.b)c.push(d[3]);var e=function(f){return g.h||2};", "junk"),
     ("", "prose"), ("当社は記録を保存します。", "prose"), ("KEEP ALL RECORDS FOR A YEAR.", "prose"),
