@@ -49,15 +49,29 @@ def chunks(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return short.unionByName(long)
 
 
+#: A heading, as the reference sees it: a line with '#', or capitals up to a colon. White space as in Python.
+_HEADING = r"(?U)(?:^|\n)[\s\x1c-\x1f]{0,3}(?:#+[\s\x1c-\x1f]+|[A-Z][A-Z\s\x1c-\x1f]{4,80}:)"
+
+
 def relevance(text: Column, lexicon: Lexicon = POLICY) -> Column:
-    """Occurrences of the relevance terms, at most 4 of each, less one for each shop term, at least 0."""
+    """Occurrences of the relevance terms, at most 4 of each, and headings, at most 6, less one for each shop term, at least 0."""
+    headings = F.regexp_count(text, F.lit(_HEADING))
+    return F.greatest(_terms(text, lexicon) + F.least(headings, F.lit(6)), F.lit(0))
+
+
+def term_relevance(text: Column, lexicon: Lexicon = POLICY) -> Column:
+    """``relevance`` without the headings."""
+    return F.greatest(_terms(text, lexicon), F.lit(0))
+
+
+def _terms(text: Column, lexicon: Lexicon) -> Column:
     low = F.regexp_replace(F.lower(text), r"\s+", " ")
     score = F.lit(0)
     for term in lexicon.relevance:
         score = score + F.least(count_of(low, term), F.lit(4))
     for term in lexicon.shop:
         score = score - F.contains(low, F.lit(term)).cast("int")
-    return F.greatest(score, F.lit(0))
+    return score
 
 
 def selected(df: DataFrame, group: list[str], document: list[str], order: list[Column], each: int = 4, total: int = 12) -> DataFrame:

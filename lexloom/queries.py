@@ -103,7 +103,7 @@ def run_state(spark, base):
 
 def relevance(spark, base):
     rows = table(spark, base, "firecrawl_scrape").where(F.length("content") > 0)
-    return rows.select("scrape_id", chunks.relevance(F.col("content")).alias("relevance"))
+    return rows.select("scrape_id", chunks.term_relevance(F.col("content")).alias("relevance"))
 
 
 def rule_hits(spark, base):

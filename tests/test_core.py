@@ -1,3 +1,4 @@
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -7,6 +8,7 @@ from lexloom import queries
 from lexloom.functions import text, urls
 from lexloom.operators import chunks, classify, scores
 from lexloom.operators.graph import components
+from lexloom.operators.lexicon import POLICY
 from lexloom.streaming import runs
 
 BASE = "/root/testdata/sf0.001"
@@ -60,6 +62,13 @@ def test_chunks():
     assert len(chunks.chunked("x" * 20_000)) >= 2
 
 
+@pytest.mark.parametrize(("body", "expected"), [
+    ("# One\n## Two\nTERMS OF USE: x", 3), ("\n".join(f"# h{k}" for k in range(9)), 6), ("   # one\n\n \u00a0# two", 2), ("x # no\nABC: no\nTerms Of Use: no\n#no", 0), ("", 0), ("# One\nadd to cart buy now", 0),
+])
+def test_relevance_counts_headings(spark, body, expected):
+    assert one(spark, chunks.relevance(F.col("t"), replace(POLICY, relevance=())), t=body) == expected
+
+
 def test_overall_and_rebound(spark):
     rows = spark.createDataFrame([("r", 90, 1), ("r", 85, 2), ("r", None, 3), ("e", None, 4)], "run string, s int, id int")
     got = {r.run: (r.overall_top, r.overall_weighted) for r in scores.overall(rows, "run", "s", "id").collect()}
