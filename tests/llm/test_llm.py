@@ -128,6 +128,15 @@ def test_quality(text, kind):
     assert quality.statistics(text, frozenset({"the", "for", "a"}))[1] == kind
 
 
+@pytest.mark.parametrize(("text", "reasons"), [
+    ("We keep the records of the visit for a year and delete them then. " * 5, set()), ("We keep the records for a year.", {"few_words"}), ("the a " + "word " * 100_001 + "\nEnd.", {"many_words"}),
+    ("the a " + "internationalisation " * 60 + ".", {"long_words"}), ("a b the c. " * 20, {"short_words"}), ("the #word for #words. " * 20, {"symbols"}), ("- the word for words here\n" * 20, {"bullet_lines", "no_closing_marks", "list_lines"}),
+    ("the word for words of all kinds here...\n" * 20, {"ellipsis_lines", "symbols"}), ("the 123 word 4567 for 12345. " * 20, {"words_without_letters"}), ("some words that none knows. " * 20, {"few_common_words"}), ("", set()),
+])
+def test_published_rules(text, reasons):
+    assert set(quality.statistics(text, frozenset({"the", "for", "a"}))[2].split(",")) - {""} == reasons
+
+
 def test_near_pairs_against_all_pairs(spark):
     r = random.Random(5)
     words = [f"w{k}" for k in range(400)]
