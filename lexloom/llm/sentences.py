@@ -40,6 +40,7 @@ _WORD_BEFORE = re.compile(r"[^\s(\[{“„«\"'’」「—–/]+\Z")
 _LIST = re.compile(r"\s*(?:[-*+•·‣◦▪–—]\s|\(?\d{1,3}[.)]\s|\(?[A-Za-z][)]\s)")
 _BULLET = re.compile(r"\s*[-*+•·‣◦▪]\s")
 _MARK = re.compile(r"\s*\(?(?:\d{1,3}(?:\.\d{1,3})*|[A-Za-z])\.(?=\s)")
+_THAI = re.compile("[\u0e00-\u0e7f]")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])[^\S\n]*\n?[^\S\n]+(?=[฀-๿])|(?<=[฀-๿])\n(?=[฀-๿])")
 _FIRST_LETTER = re.compile(r"[^\W\d_]")
 _QUOTES = re.compile(r"[“”„«»「」『』\"]")
@@ -224,7 +225,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     for a, z in units(text):
         unit = text[a:z]
         ends = _ends(unit, _quoted(unit) if _QUOTES.search(unit) else [])
-        if any("฀" <= c <= "๿" for c in unit[:200]):
+        if _THAI.search(unit):
             gaps = [m.start() for m in _THAI_GAP.finditer(unit)]
             if gaps:
                 ends = sorted({*ends, *_thai(unit, gaps)})

@@ -218,6 +218,12 @@ def test_sentences(text, expected):
     assert [text[a:z] for a, z in sentences.sentences(text)] == expected
 
 
+def test_thai_late_in_a_unit():
+    thai = ["เราเก็บข้อมูลของท่านไว้หนึ่งปี", "หลังจากนั้นเราจะลบข้อมูลทั้งหมด"]
+    text = "We keep the records of a visit, " * 10 + "and in Thai: " + " ".join(thai)
+    assert [text[a:z] for a, z in sentences.sentences(text)][-1] == thai[1]
+
+
 def test_shingles_and_words():
     h = word_hashes("A b, a B!")
     assert len(h) == 4 and h[0] == h[2] and h[1] == h[3]
