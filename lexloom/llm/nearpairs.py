@@ -10,8 +10,9 @@ once per pair on the whole texts.
 
 Prefix shingles that one class alone has are dropped before the join by a window over the shuffled prefixes, so the
 join handles a small rest. Copies are expanded to pairs of their records while the product of both classes is at
-most EXPAND; larger ones stay as pairs of representatives (the least ids) plus one row that ties each member to its
-representative, so no link is lost and no group is squared.
+most EXPAND. Larger classes are parted by identical text, and pairs of different texts are expanded by the same rule;
+only where more than EXPAND pairs of records have the same two texts, or one text, they stay as a pair of representatives (the least
+ids) plus one row that ties each record to its text's representative, so no link is lost and no copies are squared.
 
 Cases: null and empty texts and texts of fewer than ``least_words`` words have no pairs; ties in the order are broken by
 hash; repeated rows are copies of each other.
@@ -22,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,7 @@ class Batch:
         self.lengths = np.fromiter(map(len, words), np.int64, len(words))
         self.flat = np.fromiter(map(hashes.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(self.lengths.sum()))
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.same = np.array([xxhash.xxh3_64_intdigest(texts[k].encode("utf-8", "surrogatepass")) for k in self.rows], np.uint64).view(np.int64)
         self.salts = np.array([zlib.crc32(tbl[k].encode()) for k in self.rows], np.uint64)
         if self.rows:
             place = (np.arange(len(self.flat)) - np.repeat(self.starts, self.lengths)).astype(np.uint64)
@@ -65,7 +68,7 @@ class Batch:
 
 
 def survey(df: DataFrame) -> DataFrame:
-    """kind 0: tbl, row_id, a, b (the class's key), of each record that counts; kind 1: part, counts of the shingles."""
+    """kind 0: tbl, row_id, a, b (the class's key), same (a hash of the text), of each record that counts; kind 1: part, counts of the shingles."""
 
     def run(batches):
         sketch, held, size = np.zeros(SKETCH, np.int32), [], 0
@@ -87,12 +90,12 @@ def survey(df: DataFrame) -> DataFrame:
                 count()
                 size = 0
             take = pa.array(got.rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int8()), batch.column(0).take(take), batch.column(1).take(take), pa.array(got.a), pa.array(got.b), pa.nulls(n, pa.binary())], ["kind", "tbl", "row_id", "a", "b", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int8()), batch.column(0).take(take), batch.column(1).take(take), pa.array(got.a), pa.array(got.b), pa.array(got.same), pa.nulls(n, pa.binary())], ["kind", "tbl", "row_id", "a", "b", "same", "counts"])
         count()
         if sketch.any():
-            yield pa.RecordBatch.from_arrays([pa.array([1] * PARTS, pa.int8()), pa.nulls(PARTS, pa.string()), pa.array(range(PARTS), pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.array([_packed(p) for p in np.split(sketch, PARTS)], pa.binary())], ["kind", "tbl", "row_id", "a", "b", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([1] * PARTS, pa.int8()), pa.nulls(PARTS, pa.string()), pa.array(range(PARTS), pa.int64()), *[pa.nulls(PARTS, pa.int64())] * 3, pa.array([_packed(p) for p in np.split(sketch, PARTS)], pa.binary())], ["kind", "tbl", "row_id", "a", "b", "same", "counts"])
 
-    return arrow_map(df.select("tbl", "row_id", "text"), run, "kind tinyint, tbl string, row_id bigint, a bigint, b bigint, counts binary")
+    return arrow_map(df.select("tbl", "row_id", "text"), run, "kind tinyint, tbl string, row_id bigint, a bigint, b bigint, same bigint, counts binary")
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -221,12 +224,12 @@ def _few(ids: DataFrame, count: int) -> DataFrame:
 
 
 def class_pairs(df: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): tbl, row_id, rep of every record that counts; tbl, x, y (representatives, x < y), similarity."""
+    """(members, pairs): tbl, row_id, rep, n (size of its class), same of every record that counts; tbl, x, y (representatives, x < y), similarity."""
     seen = durable(survey(df))
     counts = _added(seen)
-    records = seen.where("kind = 0").select("tbl", "row_id", "a", "b")
+    records = seen.where("kind = 0").select("tbl", "row_id", "a", "b", "same")
     classes = durable(records.groupBy("tbl", "a", "b").agg(F.min("row_id").alias("rep"), F.count("*").alias("n")))
-    members = records.join(classes, ["tbl", "a", "b"]).select("tbl", "row_id", "rep", "n")
+    members = records.join(classes, ["tbl", "a", "b"]).select("tbl", "row_id", "rep", "n", "same")
     found = durable(candidates(prefixes(df, counts, share), share))
     reps = classes.select("a", "tbl", "rep")
     named = durable(found.join(reps.toDF("x", "tbl", "rx"), "x").join(reps.toDF("y", "tbl", "ry"), ["tbl", "y"]).select("tbl", F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")))
@@ -247,19 +250,39 @@ def pairs(df: DataFrame, share: float = SHARE) -> DataFrame:
     """tbl, id_a, id_b (id_a < id_b): the pairs of records of ``df`` (tbl, row_id, text), copies as the module says."""
     members, found = class_pairs(df, share)
     found = durable(found.select("tbl", "x", "y"))
-    many = members.where("n > 1")
-    # within a class: all pairs of small ones, representative and member of large ones
+    many = durable(members.where("n > 1"))
+    # records of one text in classes of copies: u, the text's representative, and m, how many
+    units = durable(many.groupBy("tbl", "rep", "same", "n").agg(F.min("row_id").alias("u"), F.count("*").alias("m")))
+    held = many.join(units.drop("n"), ["tbl", "rep", "same"])
+    # within a class: all pairs of small ones; of large ones all pairs of a text, or representative and record, and the pairs of texts
     own = many.where(f"n * n <= {EXPAND}")
     inner = own.alias("p").join(own.alias("q"), ["tbl", "rep"]).where("p.row_id < q.row_id").select("tbl", F.col("p.row_id").alias("id_a"), F.col("q.row_id").alias("id_b"))
-    tied = many.where(f"n * n > {EXPAND} and row_id != rep").select("tbl", F.col("rep").alias("id_a"), F.col("row_id").alias("id_b"))
+    large = held.where(f"n * n > {EXPAND}")
+    few = large.where(f"m * m <= {EXPAND}")
+    inner = inner.unionByName(few.alias("p").join(few.alias("q"), ["tbl", "u"]).where("p.row_id < q.row_id").select("tbl", F.col("p.row_id").alias("id_a"), F.col("q.row_id").alias("id_b")))
+    tied = large.where(f"m * m > {EXPAND} and row_id != u").select("tbl", F.col("u").alias("id_a"), F.col("row_id").alias("id_b"))
+    parts = units.where(f"n * n > {EXPAND}").select("tbl", "rep", "u", "m")
+    apart = parts.toDF("tbl", "rep", "ux", "mx").join(parts.toDF("tbl", "rep", "uy", "my"), ["tbl", "rep"]).where("ux < uy").select("tbl", "ux", "mx", "uy", "my")
     # between classes
     sizes = members.where("row_id = rep").select("tbl", "rep", "n")
     sized = found.join(sizes.toDF("tbl", "x", "nx"), ["tbl", "x"]).join(sizes.toDF("tbl", "y", "ny"), ["tbl", "y"])
-    one = sized.where(f"nx * ny > {EXPAND} or nx * ny = 1").select("tbl", F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+    one = sized.where("nx * ny = 1").select("tbl", F.col("x").alias("id_a"), F.col("y").alias("id_b"))
     more = sized.where(f"nx * ny between 2 and {EXPAND}").select("tbl", "x", "y")
     xs, ys = members.select("tbl", F.col("rep").alias("x"), F.col("row_id").alias("p")), members.select("tbl", F.col("rep").alias("y"), F.col("row_id").alias("q"))
     cross = more.join(xs, ["tbl", "x"]).join(ys, ["tbl", "y"]).select("tbl", F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
-    return inner.unionByName(tied).unionByName(one).unionByName(cross)
+    each = units.select("tbl", "rep", "u", "m")
+    wide = sized.where(f"nx * ny > {EXPAND}").join(each.toDF("tbl", "x", "ux", "mx"), ["tbl", "x"], "left").join(each.toDF("tbl", "y", "uy", "my"), ["tbl", "y"], "left")
+    wide = wide.select("tbl", F.coalesce("ux", "x").alias("ux"), F.coalesce("mx", F.lit(1)).alias("mx"), F.coalesce("uy", "y").alias("uy"), F.coalesce("my", F.lit(1)).alias("my"))
+    return inner.unionByName(tied).unionByName(one).unionByName(cross).unionByName(_of_texts(apart.unionByName(wide), held))
+
+
+def _of_texts(texts: DataFrame, held: DataFrame) -> DataFrame:
+    """tbl, id_a, id_b of pairs of texts (tbl, ux, mx, uy, my): of all their records, or of the representatives if these are over EXPAND."""
+    one = texts.where(f"mx * my > {EXPAND}").select("tbl", F.least("ux", "uy").alias("id_a"), F.greatest("ux", "uy").alias("id_b"))
+    records = held.select("tbl", "u", "row_id")
+    more = texts.where(f"mx * my <= {EXPAND}").join(records.toDF("tbl", "ux", "p"), ["tbl", "ux"], "left").join(records.toDF("tbl", "uy", "q"), ["tbl", "uy"], "left")
+    p, q = F.coalesce("p", "ux"), F.coalesce("q", "uy")
+    return one.unionByName(more.select("tbl", F.least(p, q).alias("id_a"), F.greatest(p, q).alias("id_b")))
 
 
 def links(df: DataFrame, share: float = SHARE) -> DataFrame:

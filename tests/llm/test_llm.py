@@ -163,6 +163,18 @@ def test_copies_are_not_squared(spark):
     assert {(0, k) for k in range(1, 100)} <= got and len(got) == 99 + 100  # 100 x 1 is within EXPAND, 100 x 100 is not
 
 
+def test_different_texts_of_equal_words(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    # 40 and 45 records of two texts with the same words; 100 of one text, 3 of another with the same words, 50 of a class alike to it
+    other, third = text.replace("w", "v"), text.replace("w", "v") + " x"
+    rows = [(k, text) for k in range(40)] + [(k, text.upper()) for k in range(100, 145)] + [(k, other) for k in range(200, 300)] + [(k, other + "!") for k in range(300, 303)] + [(k, third) for k in range(400, 450)]
+    got = [(r.id_a, r.id_b) for r in nearpairs.pairs(spark.createDataFrame([("t", *x) for x in rows], "tbl string, row_id bigint, text string")).collect()]
+    first = [k for k, _ in rows if k < 200]
+    expected = {(a, b) for a in first for b in first if a < b} | {(200, k) for k in range(201, 300)} | {(a, b) for a in range(200, 303) for b in range(300, 303) if a < b}
+    expected |= {(a, b) for a in range(400, 450) for b in range(a + 1, 450)} | {(200, 400)} | {(a, b) for a in range(300, 303) for b in range(400, 450)}
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_encoding_equals_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
