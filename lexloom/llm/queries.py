@@ -64,7 +64,9 @@ def p4_labels(spark, base):
 
 def p5_statistics(spark, base):
     words = common_words(spark, base)
-    return quality.quality(requests(spark, base), words, True, residue.is_residue).unionByName(quality.quality(clauses(spark, base), words, False, residue.is_residue))
+    named = residue.residue(mainbody.pages(spark, base)).where("tbl = 'agent1_request'").select("tbl", "row_id")
+    pages = quality.without(quality.quality(requests(spark, base), words, True), named)
+    return pages.unionByName(quality.quality(clauses(spark, base), words, False))
 
 
 def p5_found(spark, base):

@@ -137,6 +137,18 @@ def test_published_rules(text, reasons):
     assert set(quality.statistics(text, frozenset({"the", "for", "a"}))[2].split(",")) - {""} == reasons
 
 
+def test_only_records_of_p4_are_no_cases_of_p5(spark, tmp_path):
+    code = "if(!a.b)c.push(d[3]);var e=function(f){return g.h||2};\nvar x={{name}};if(y){z.push(<nav>)};{{host}}"
+    lines = "\n".join(f"- {w} thing of the list" for w in ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"))
+    rows = [(1, lines + "\n- {{company}} and {{city}}"), (2, lines + "\n- {{company}} where the field stands"), (3, lines)]
+    spark.createDataFrame(rows, "request_id bigint, browser_page_text string").write.parquet(f"{tmp_path}/agent1_request.parquet")
+    spark.createDataFrame([(9, None)], "scrape_id bigint, content string").write.parquet(f"{tmp_path}/firecrawl_scrape.parquet")
+    spark.createDataFrame([(1, code)], "row_id bigint, source_text string").write.parquet(f"{tmp_path}/clause_analysis.parquet")
+    spark.createDataFrame([("en", "the")], "lang string, word string").write.parquet(f"{tmp_path}/common_word.parquet")
+    assert {(r.row_id, r.how) for r in queries.p4_labels(spark, str(tmp_path)).collect()} == {(1, "trusted"), (2, "spread")}
+    assert {tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()} == {("agent1_request", 3), ("clause_analysis", 1)}
+
+
 def test_near_pairs_against_all_pairs(spark):
     r = random.Random(5)
     words = [f"w{k}" for k in range(400)]
