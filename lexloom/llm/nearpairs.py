@@ -229,22 +229,30 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
     One shuffle and sort; a shingle that stands in very many records is spread over salts, and its count is added up from theirs."""
     w = Window.partitionBy("h", "salt")
     once = rows.withColumn("before", F.lag("a").over(w.orderBy("a"))).where("before is null or before != a").drop("before")
-    met = durable(once.withColumn("n", F.count("*").over(w)).where("n > 1 or salt > 0"))
+    met = durable(once.withColumn("n", F.count("*").over(w).cast("int")).where("n > 1 or salt > 0"))
     cold, hot = met.where("salt = 0"), met.where("salt > 0").drop("n")
-    totals = durable(hot.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    totals = durable(hot.groupBy("h").agg(F.count("*").cast("int").alias("n")).where("n > 1"))
     return cold.unionByName(hot.join(_few(totals, totals.count()), "h"))
 
 
 def candidates(shared: DataFrame, share: float) -> DataFrame:
     """x, y (halves of class keys, x < y): pairs that the filters leave of the prefixes ``shared``.
 
-    Classes of one shingle meet block by block, BLOCK of them in a block, so that no task has all of a frequent one."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    held = shared.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    The classes of a shingle that up to BLOCK of them have meet at once, both sides from one shuffle; of a more frequent
+    one they meet block by block, BLOCK of them in a block, so that no task has all of them."""
     names = ["size", "place", *MAPS]
-    last = F.col("blocks") - 1
-    x = held.select("h", F.col("own").alias("i"), F.explode(F.sequence("own", last)).alias("j"), F.col("a").alias("x"), *(F.col(c).alias(f"{c}x") for c in names))
-    y = held.select("h", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("a").alias("y"), *(F.col(c).alias(f"{c}y") for c in names))
+    small = shared.where(F.col("n") <= BLOCK).select("h", "a", *names)
+    x, y = (small.toDF("h", side, *(f"{c}{side}" for c in names)) for side in "xy")
+    met = _passing(x.join(y, "h").where("x < y"), share)
+    large = shared.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    x = large.select("h", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("a").alias("x"), *(F.col(c).alias(f"{c}x") for c in names))
+    y = large.select("h", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("a").alias("y"), *(F.col(c).alias(f"{c}y") for c in names))
+    met = met.unionByName(_passing(x.join(y, ["h", "i", "j"]).where("i < j or x < y"), share))
+    return met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("votes").alias("n")).where(F.col("n") >= SHARED).select("x", "y")
+
+
+def _passing(met: DataFrame, share: float) -> DataFrame:
+    """x, y, votes of the pairs of ``met`` that the filters by length, position and bitmaps leave."""
     sx, sy, px, py = (F.col(c) for c in ("sizex", "sizey", "placex", "placey"))
     need = F.ceil(F.lit(share / (1 + share)) * (sx + sy) - 1e-9)
     length = (sx >= F.ceil(share * sy - 1e-9)) & (sy >= F.ceil(share * sx - 1e-9))
@@ -255,10 +263,8 @@ def candidates(shared: DataFrame, share: float) -> DataFrame:
     # the smaller set of a pair shares more of itself, so what is shared begins earlier in it
     early = [s - F.ceil(F.lit(2 * share / (1 + share)) * s - 1e-9) + F.when(s >= LARGE, SHARED).otherwise(1) for s in (sx, sy)]
     indexed = ((sx > sy) | (px < early[0])) & ((sy > sx) | (py < early[1]))
-    once = (F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))
-    met = x.join(y, ["h", "i", "j"]).where(once & length & indexed & position & suffix)
     votes = F.when(F.least(sx, sy) >= LARGE, 1).otherwise(SHARED)
-    return met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum(votes).alias("n")).where(F.col("n") >= SHARED).select("x", "y")
+    return met.where(length & indexed & position & suffix).select("x", "y", votes.alias("votes"))
 
 
 def _few(ids: DataFrame, count: int) -> DataFrame:
