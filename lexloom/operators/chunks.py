@@ -12,10 +12,13 @@ SIZE, OVERLAP = 9000, 300
 
 
 def chunked(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Pieces of up to ``size`` characters. A piece ends after its last blank line if that lies past 55 % of the size, else
-    after its last sentence if past 65 %; the next begins ``overlap`` characters earlier, at the start of a word. A text of
-    several pieces ends with one of at most ``overlap`` characters that repeats the end of the one before."""
+    """Pieces of up to ``size`` characters. A piece ends before its last blank line if that lies past 55 % of the size, else
+    after its last sentence if past 65 %; the next begins ``overlap`` characters earlier, or where the first word after
+    that place begins. A text of several pieces ends with one of at most ``overlap`` characters that repeats the end of the
+    one before. A text within the size is one piece, as it is."""
     out, start, length = [], 0, len(text)
+    if length <= size:
+        return [text]
     while start < length:
         end = min(start + size, length)
         if end < length:
@@ -27,12 +30,17 @@ def chunked(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
         piece = text[start:end].strip()
         if piece:
             out.append(piece)
-        if end == length and (start == 0 or end - start <= overlap):
-            break
-        follow = max(end - overlap, start + 1)
-        while follow < end and not text[follow - 1].isspace():
+        follow = end - overlap
+        if follow <= start:
+            start = end
+            continue
+        while follow < length and text[follow - 1].isalnum() and text[follow].isalnum():
             follow += 1
-        start = follow if follow < end else end
+        while follow < length and not text[follow].isspace() and not text[follow].isalnum():
+            follow += 1
+        while follow < length and text[follow].isspace():
+            follow += 1
+        start = follow
     return out
 
 
@@ -53,25 +61,16 @@ def chunks(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 _HEADING = r"(?U)(?:^|\n)[\s\x1c-\x1f]{0,3}(?:#+[\s\x1c-\x1f]+|[A-Z][A-Z\s\x1c-\x1f]{4,80}:)"
 
 
-def relevance(text: Column, lexicon: Lexicon = POLICY) -> Column:
-    """Occurrences of the relevance terms, at most 4 of each, and headings, at most 6, less one for each shop term, at least 0."""
-    headings = F.regexp_count(text, F.lit(_HEADING))
-    return F.greatest(_terms(text, lexicon) + F.least(headings, F.lit(6)), F.lit(0))
-
-
-def term_relevance(text: Column, lexicon: Lexicon = POLICY) -> Column:
-    """``relevance`` without the headings."""
-    return F.greatest(_terms(text, lexicon), F.lit(0))
-
-
-def _terms(text: Column, lexicon: Lexicon) -> Column:
-    low = F.regexp_replace(F.lower(text), r"\s+", " ")
-    score = F.lit(0)
+def with_relevance(df: DataFrame, text: str, lexicon: Lexicon = POLICY) -> DataFrame:
+    """``df`` and relevance: occurrences of the relevance terms, at most 4 of each, and headings, at most 6, less one for each
+    shop term, at least 0; null for a null text. The text is lower-cased and collapsed once, not once a term."""
+    low = df.withColumn("_low", F.explode(F.array(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))))
+    score = F.least(F.regexp_count(text, F.lit(_HEADING)), F.lit(6))
     for term in lexicon.relevance:
-        score = score + F.least(count_of(low, term), F.lit(4))
+        score = score + F.least(count_of(F.col("_low"), term), F.lit(4))
     for term in lexicon.shop:
-        score = score - F.contains(low, F.lit(term)).cast("int")
-    return score
+        score = score - F.contains("_low", F.lit(term)).cast("int")
+    return low.withColumn("relevance", F.greatest(score, F.lit(0))).drop("_low")
 
 
 def selected(df: DataFrame, group: list[str], document: list[str], order: list[Column], each: int = 4, total: int = 12) -> DataFrame:

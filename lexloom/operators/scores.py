@@ -20,14 +20,16 @@ def overall(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:
 def rebound(expected: DataFrame, answers: DataFrame, group: str) -> DataFrame:
     """group, position, clause_id, answer: answers (group, position, clause_id, answer) bound to expected (group, position, clause_id).
 
-    An answer whose id is expected takes it (the first of several); the others take, in order, the positions that are
-    left; surplus answers are dropped. All by joins on (group, rank)."""
-    first = answers.withColumn("_n", F.row_number().over(Window.partitionBy(group, "clause_id").orderBy("position"))).withColumnRenamed("position", "_at")
-    exact = expected.join(first.where("_n = 1").select(group, "clause_id", "_at", "answer"), [group, "clause_id"])
-    free = expected.join(exact.select(group, "position"), [group, "position"], "left_anti")
-    spare = answers.withColumnRenamed("position", "_at").join(exact.select(group, "_at"), [group, "_at"], "left_anti")
-    order = Window.partitionBy(group)
-    free = free.withColumn("_k", F.row_number().over(order.orderBy("position")))
-    spare = spare.select(group, "_at", "answer").withColumn("_k", F.row_number().over(order.orderBy("_at")))
-    rest = free.join(spare, [group, "_k"])
-    return exact.select(group, "position", "clause_id", "answer").unionByName(rest.select(group, "position", "clause_id", "answer"))
+    Each answer is used once. Of the answers with an expected id the first takes the first position of that id, the second
+    the second, and so on; the answers that are left take, in order, the positions that are left; surplus ones are dropped,
+    positions without an answer are absent. All by joins on (group, rank); a null id is expected by none."""
+    turn = Window.partitionBy(group, "clause_id").orderBy("position")
+    wanted = expected.select(group, "clause_id", F.row_number().over(turn).alias("_n"), F.col("position").alias("_to"))
+    given = answers.select(group, "clause_id", F.row_number().over(turn).alias("_n"), F.col("position").alias("_at"), F.struct("answer").alias("_a"))
+    met = wanted.join(given, [group, "clause_id", "_n"], "full_outer")
+    kind = F.when(F.col("_at").isNull(), "free").when(F.col("_to").isNull(), "spare").otherwise("exact")
+    sorted_ = met.withColumn("_kind", kind).withColumn("_k", F.row_number().over(Window.partitionBy(group, "_kind").orderBy(F.coalesce("_to", "_at"))))
+    # the k-th free position and the k-th spare answer of a group become one row
+    slot = F.when(F.col("_kind") == "exact", F.lit("exact")).otherwise("rest")
+    rows = sorted_.groupBy(group, slot.alias("_slot"), "_k").agg(F.max(F.when(F.col("_to").isNotNull(), F.struct("_to", "clause_id"))).alias("f"), F.max(F.when(F.col("_at").isNotNull(), F.col("_a"))).alias("s"))
+    return rows.where("f is not null and s is not null").select(group, F.col("f._to").alias("position"), "f.clause_id", "s.answer")

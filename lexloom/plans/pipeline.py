@@ -1,6 +1,6 @@
 """The whole analysis as one lazy plan: documents, chunks, rule hits, scores by run."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text, urls
@@ -18,10 +18,15 @@ def documents(scrapes: DataFrame) -> DataFrame:
 
 
 def top_chunks(docs: DataFrame, lexicon: Lexicon = POLICY) -> DataFrame:
-    """site, url, chunk_index, scrape_id, relevance, rank: the chunks of a site that are analysed."""
-    parts = chunks.chunks(docs.where(F.length("content") >= 220), ["site", "url", "scrape_id"], "content")
-    scored = parts.select("site", "url", "scrape_id", "chunk_index", chunks.relevance(F.col("chunk"), lexicon).alias("relevance"))
-    return chunks.selected(scored, ["site"], ["url"], [F.desc("relevance"), F.col("url"), F.col("chunk_index"), F.col("scrape_id")])
+    """site, url, type, chunk_index, scrape_id, relevance, rank: the chunks of a site that are analysed.
+
+    Chunks without any relevance are left out where the site has others; texts of under 220 characters have none."""
+    parts = chunks.chunks(docs.where(F.length("content") >= 220), ["site", "url", "type", "scrape_id"], "content")
+    scored = chunks.with_relevance(parts, "chunk", lexicon).select("site", "url", "type", "scrape_id", "chunk_index", "relevance")
+    order = [F.desc("relevance"), F.col("url"), F.col("type"), F.col("chunk_index"), F.col("scrape_id")]
+    taken = chunks.selected(scored, ["site"], ["url"], order)
+    best = F.max("relevance").over(Window.partitionBy("site"))
+    return taken.withColumn("_best", best).where("relevance > 0 or _best = 0").drop("_best")
 
 
 def run_scores(clauses: DataFrame) -> DataFrame:

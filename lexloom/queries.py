@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from lexloom import queries_rules
 from lexloom.functions import text, urls
-from lexloom.operators import chunks, classify, dedupe, scores
-from lexloom.operators.lexicon import POLICY
+from lexloom.operators import chunks, classify, dedupe, filters, scores
+from lexloom.operators.lexicon import CATEGORIES, POLICY
 from lexloom.plans import pipeline
 from lexloom.sources.tables import table
 from lexloom.streaming import runs as store
@@ -57,7 +58,7 @@ def level_counts(spark, base):
 
 
 def category_counts(spark, base):
-    return table(spark, base, "clause_analysis").groupBy(classify.category(F.col("category")).alias("category")).agg(F.count("*").alias("n"), F.sum("risk_score").alias("sum_score"))
+    return table(spark, base, "clause_analysis").groupBy(classify.domain_category(F.col("category")).alias("category")).agg(F.count("*").alias("n"), F.sum("risk_score").alias("sum_score"))
 
 
 def run_scores(spark, base):
@@ -103,12 +104,13 @@ def run_state(spark, base):
 
 def relevance(spark, base):
     rows = table(spark, base, "firecrawl_scrape").where(F.length("content") > 0)
-    return rows.select("scrape_id", chunks.term_relevance(F.col("content")).alias("relevance"))
+    return chunks.with_relevance(rows.select("scrape_id", "content"), "content").select("scrape_id", "relevance")
 
 
 def rule_hits(spark, base):
-    rows = table(spark, base, "clause_analysis").select("row_id", F.explode(classify.rule_titles(F.col("source_text"))).alias("title"))
-    return rows.groupBy("title").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
+    low = filters.prepared(table(spark, base, "firecrawl_scrape").select("scrape_id", "content"), "content")
+    rows = low.select("scrape_id", F.explode(classify.rule_titles(F.col("low"))).alias("title"))
+    return rows.groupBy("title").agg(F.count("*").alias("n"), F.min("scrape_id").alias("first_row"))
 
 
 def first_sentences(spark, base):
@@ -130,13 +132,16 @@ def top_chunks(spark, base):
 
 
 def rebind(spark, base):
-    rows = table(spark, base, "clause_analysis").where("run_id is not null").select("run_id", "row_id", "clause_id", "explanation", "risk_score")
     from pyspark.sql import Window
 
-    at = F.row_number().over(Window.partitionBy("run_id").orderBy("row_id"))
-    placed = rows.select("run_id", at.alias("position"), F.col("row_id").cast("string").alias("clause_id"), F.coalesce("explanation", F.lit("")).alias("answer"))
-    wrong = placed.withColumn("clause_id", F.when(F.col("position") % 3 == 0, F.concat(F.lit("x"), "clause_id")).otherwise(F.col("clause_id")))
-    return scores.rebound(placed.drop("answer"), wrong, "run_id")
+    rows = table(spark, base, "clause_analysis").where("run_id is not null").select("run_id", "row_id", "clause_id", F.coalesce("explanation", F.lit("")).alias("answer"))
+    placed = rows.withColumn("position", F.row_number().over(Window.partitionBy("run_id").orderBy("row_id")))
+    # answers in another order; a third with wrong ids, every seventh missing, every fifth once more
+    p = F.col("position")
+    told = placed.where(p % 7 != 0).withColumn("clause_id", F.when(p % 3 == 0, F.concat(F.lit("x"), "clause_id")).otherwise(F.col("clause_id")))
+    told = told.unionByName(placed.where(p % 5 == 0).withColumn("answer", F.lit("surplus")).withColumn("row_id", -F.col("row_id")))
+    mixed = told.withColumn("position", F.row_number().over(Window.partitionBy("run_id").orderBy(F.md5(F.col("row_id").cast("string")))))
+    return scores.rebound(placed.drop("answer"), mixed.drop("row_id"), "run_id")
 
 
 QUERIES = {f.__name__: f for f in (url_forms, host_rollup, type_counts, page_links, page_dedupe, fingerprint_dedupe, clause_dedupe, level_counts, category_counts, run_scores, key_findings, batches, coverage, runs_latest, runs_held, run_state, relevance, rule_hits, first_sentences, text_forms, chunk_stats, top_chunks, rebind)}
@@ -169,10 +174,12 @@ def _collapsed(t: str) -> str:
 
 
 def _relevance() -> str:
-    low = r"regexp_replace(lower(content), '[ \t\n\x0B\f\r]+', ' ', 'g')"
+    low = f"regexp_replace(lower(content), '{_WHITE}', ' ', 'g')"
+    white = _WHITE[1:-2]
+    heading = rf"(?:^|\n)[{white}]{{0,3}}(?:#+[{white}]+|[A-Z][A-Z{white}]{{4,80}}:)"
     plus = " + ".join(f"least((length(t) - length(replace(t, '{x}', ''))) // {len(x)}, 4)" for x in POLICY.relevance)
     minus = "".join(f" - CAST(contains(t, '{x}') AS INTEGER)" for x in POLICY.shop)
-    return f"SELECT scrape_id, CAST(greatest({plus}{minus}, 0) AS INTEGER) AS relevance FROM (SELECT scrape_id, {low} AS t FROM firecrawl_scrape WHERE length(content) > 0)"
+    return f"SELECT scrape_id, CAST(greatest({plus}{minus} + least(h, 6), 0) AS INTEGER) AS relevance FROM (SELECT scrape_id, {low} AS t, len(regexp_extract_all(content, '{heading}')) AS h FROM firecrawl_scrape WHERE length(content) > 0)"
 
 
 def _types() -> str:
@@ -183,10 +190,21 @@ def _types() -> str:
 def _rules() -> str:
     parts = []
     for title, _, patterns in POLICY.rules:
-        pattern = "(?i)" + "|".join(f"(?:{p})" for p in patterns)
-        parts.append(f"SELECT '{title}' AS title, count(*) AS n, min(row_id) AS first_row FROM clause_analysis WHERE regexp_matches(source_text, '{pattern}') HAVING count(*) > 0")
-    return " UNION ALL ".join(parts)
-
+        hit = " OR ".join(f"regexp_matches(low, '{p}')" for p in patterns)
+        parts.append(f"SELECT '{title}' AS title, count(*) AS n, min(scrape_id) AS first_row FROM pages WHERE {hit} HAVING count(*) > 0")
+    return f"WITH pages AS (SELECT scrape_id, lower({_collapsed('content')}) AS low FROM firecrawl_scrape WHERE content IS NOT NULL) " + " UNION ALL ".join(parts)
+
+
+_REBIND = """
+    WITH placed AS (SELECT run_id, row_id, clause_id, coalesce(explanation, '') AS answer, row_number() OVER (PARTITION BY run_id ORDER BY row_id) AS position FROM clause_analysis WHERE run_id IS NOT NULL),
+    told AS (SELECT run_id, row_id, CASE WHEN position % 3 = 0 THEN 'x' || clause_id ELSE clause_id END AS clause_id, answer FROM placed WHERE position % 7 <> 0
+        UNION ALL SELECT run_id, -row_id, clause_id, 'surplus' FROM placed WHERE position % 5 = 0),
+    given AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY md5(CAST(row_id AS VARCHAR))) AS at_ FROM told),
+    w AS (SELECT *, row_number() OVER (PARTITION BY run_id, clause_id ORDER BY position) AS n FROM placed), g AS (SELECT *, row_number() OVER (PARTITION BY run_id, clause_id ORDER BY at_) AS n FROM given),
+    exact AS (SELECT w.run_id, w.position, w.clause_id, g.answer, g.at_ FROM w JOIN g ON w.run_id = g.run_id AND w.clause_id = g.clause_id AND w.n = g.n),
+    free AS (SELECT run_id, position, clause_id, row_number() OVER (PARTITION BY run_id ORDER BY position) AS k FROM placed p WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.run_id = p.run_id AND e.position = p.position)),
+    spare AS (SELECT run_id, answer, row_number() OVER (PARTITION BY run_id ORDER BY at_) AS k FROM given x WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.run_id = x.run_id AND e.at_ = x.at_))
+    SELECT run_id, CAST(position AS INTEGER) AS position, clause_id, answer FROM exact UNION ALL SELECT free.run_id, CAST(position AS INTEGER), clause_id, answer FROM free JOIN spare ON free.run_id = spare.run_id AND free.k = spare.k"""
 
 _LEVEL = "CASE WHEN {0} > 80 THEN 'high' WHEN {0} >= 45 THEN 'medium' WHEN {0} IS NOT NULL THEN 'low' END"
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY stored_at DESC NULLS LAST, status DESC NULLS LAST, document_count DESC NULLS LAST, policy_count DESC NULLS LAST) AS k FROM runs WHERE run_id IS NOT NULL) WHERE k = 1"
@@ -196,9 +214,9 @@ SQL = {
     "url_forms": rf"""
         SELECT request_id, {_host()} AS host, {_canonical()} AS canonical, {_QUERY.format("url")} AS with_query, {_http()} AS is_http,
             coalesce(regexp_matches(lower({_part(3)}), '\.pdf$') OR contains(lower({_part(3)}), '.pdf/'), false) AS is_pdf,
-            coalesce(CASE WHEN regexp_matches({_canonical()}, '^([a-z]+://[^/]+(?:/[^/]+)*?/(?:policy|policies))/[a-z]{{2}}(/.+)$')
-                THEN regexp_replace({_canonical()}, '^([a-z]+://[^/]+(?:/[^/]+)*?/(?:policy|policies))/[a-z]{{2}}(/.+)$', '\1\2') END, '') AS family
-        FROM agent1_request""",
+            coalesce(CASE WHEN len(segments) >= 3 AND segments[1] IN ('policy', 'policies') AND regexp_full_match(segments[2], '[a-z]{{2}}') AND {_http()}
+                THEN lower({_part(1)}) || '://' || lower({_part(2)}) || '/' || segments[1] || '/' || array_to_string(segments[3:], '/') END, '') AS family
+        FROM (SELECT *, list_filter(string_split(lower({_part(3)}), '/'), lambda x: x <> '') AS segments FROM agent1_request)""",
     "host_rollup": f"SELECT {_host()} AS host, count(*) AS n_pages, count(DISTINCT {_canonical()}) AS n_urls FROM firecrawl_scrape GROUP BY 1",
     "type_counts": f"""
         SELECT type, url_type, count(*) AS n FROM (
@@ -217,7 +235,7 @@ SQL = {
     "level_counts": f"""
         SELECT run_id, count(*) AS n, {", ".join(f"count(*) FILTER (lower(risk_level) = '{x}') AS {x}" for x in ("critical", "high", "medium", "low"))},
             count(*) FILTER (coalesce({_LEVEL.format("risk_score")}, '') <> coalesce(lower(risk_level), '')) AS n_off FROM clause_analysis GROUP BY run_id""",
-    "category_counts": r"SELECT coalesce(nullif(regexp_replace(lower(trim(category)), '[\s-]+', '_', 'g'), ''), 'other') AS category, count(*) AS n, CAST(sum(risk_score) AS BIGINT) AS sum_score FROM clause_analysis GROUP BY 1",
+    "category_counts": f"SELECT CASE WHEN c IN ({', '.join(repr(x) for x in CATEGORIES)}) THEN c ELSE 'other' END AS category, count(*) AS n, CAST(sum(risk_score) AS BIGINT) AS sum_score FROM (SELECT regexp_replace(lower(trim(category)), '[\\s-]+', '_', 'g') AS c, risk_score FROM clause_analysis) GROUP BY 1",
     "run_scores": f"""
         WITH once AS (SELECT run_id, row_id, risk_score FROM (SELECT *, row_number() OVER (PARTITION BY run_id, clause_id ORDER BY row_id) AS k FROM clause_analysis WHERE run_id IS NOT NULL) WHERE k = 1),
         best AS (SELECT *, [0.40, 0.25, 0.15, 0.10, 0.10][n] AS w FROM (SELECT *, {_BY_RUN} AS n FROM once) WHERE n <= 5),
@@ -236,5 +254,9 @@ SQL = {
     "run_state": f"SELECT run_id, status, coalesce(n_clauses, 0) AS n_clauses FROM ({_LATEST}) LEFT JOIN (SELECT run_id, count(*) AS n_clauses FROM clause_analysis GROUP BY run_id) USING (run_id)",
     "relevance": _relevance(),
     "rule_hits": _rules(),
-    "rebind": """SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY row_id) AS INTEGER) AS position, CAST(row_id AS VARCHAR) AS clause_id, coalesce(explanation, '') AS answer FROM clause_analysis WHERE run_id IS NOT NULL""",
+    "rebind": _REBIND,
 }
+
+for _more in (queries_rules,):
+    QUERIES |= _more.QUERIES
+    SQL |= _more.SQL
