@@ -97,7 +97,7 @@ def grounded(source: Column, excerpt: Column) -> Column:
     """Whether an excerpt of at least 20 characters stands in a source, in their grounding forms; an excerpt with ellipses also if
     its parts, two or more of at least 12 characters each, stand there in order. Null counts as not."""
     s, e = grounding_form(source), grounding_form(excerpt)
-    parts = F.filter(F.transform(F.split(e, r"\.{3,}|\u2026"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(e, r"\.{3,}|\u2026"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce((F.length(e) >= 20) & ((F.instr(s, e) > 0) | ((F.size(parts) >= 2) & _in_order(parts, s))), F.lit(False))
 
 

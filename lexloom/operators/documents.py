@@ -1,6 +1,8 @@
 """Documents and clauses that say the same: exact copies, near copies, excerpts inside longer ones."""
 
 import difflib
+import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,24 +16,46 @@ from lexloom.operators.graph import components
 from lexloom.operators.pairs import first_of, meet
 
 SHORT, RATIO, WINDOW, ALIKE = 1000, 0.90, 20_000, 0.96
-BANDS, ROWS, SHINGLE = 12, 2, 3
+#: A change of a twenty-fifth of the characters, spread as widely as can be, leaves a third of the words of common lengths.
+LEAST_COMMON = 0.3
+BANDS, ROWS, SHINGLE = 20, 2, 3
 LEAST_CONTAINED, GRAM = 80, 6
 
 
+_TOKEN = re.compile(r"[a-z0-9]+|\s|[^\sa-z0-9]")
+
+
+def matching_ratio(a: str, b: str) -> float:
+    """Twice the characters of matching blocks by all characters, as a sequence matcher counts them: blocks of tokens first, then
+    characters within what is left between them, which keeps a comparison of long texts from growing with their square."""
+    p, q = _TOKEN.findall(a), _TOKEN.findall(b)
+    same = 0
+    for tag, i, j, k, z in difflib.SequenceMatcher(None, p, q, autojunk=False).get_opcodes():
+        if tag == "equal":
+            same += sum(map(len, p[i:j]))
+        elif tag == "replace":
+            x, y = "".join(p[i:j]), "".join(q[k:z])
+            same += sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()) if max(len(x), len(y)) < SHORT else 0
+    return 2 * same / max(1, len(a) + len(b))
+
+
 def similar(a: str, b: str) -> bool:
     """Whether two normal forms (``undated``) are of one document: equal if the shorter has under SHORT characters, else of about
     one length and of a matching ratio of ALIKE; of longer ones than WINDOW both ends are compared."""
     if not a or not b:
         return False
+    if a == b:
+        return True
     short, long = sorted((len(a), len(b)))
-    if short < SHORT:
-        return a == b
-    if short < RATIO * long:
+    if short < SHORT or short < RATIO * long:
         return False
     half = WINDOW // 2
     a, b = (x if len(x) <= WINDOW else f"{x[:half]} {x[-half:]}" for x in (a, b))
-    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    return m.quick_ratio() >= ALIKE and m.ratio() >= ALIKE
+    # characters in common, in any order, bound the ratio from above, and so do words
+    common = sum((Counter(a.split()) & Counter(b.split())).values())
+    if common < LEAST_COMMON * max(a.count(" "), b.count(" ")):
+        return False
+    return matching_ratio(a, b) >= ALIKE
 
 
 @F.pandas_udf(T.BooleanType())
@@ -39,11 +63,13 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def _bands(form: Column) -> Column:
-    """BANDS keys out of the least hashes of a text's sequences of SHINGLE words; texts of fewer words have their whole form's."""
-    words = F.split(form, " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(SHINGLE)), " ")))
-    # one strong hash of a sequence, re-keyed for each of the minima
+def _grams(words: Column) -> Column:
+    """Hashes of the sequences of SHINGLE of ``words`` (a column: an expression would be split again for each); fewer words are one sequence."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(SHINGLE))))
+
+
+def _bands(grams: Column) -> Column:
+    """BANDS keys out of the least of the hashes, each re-keyed for each of the minima."""
     least = [F.array_min(F.transform(grams, lambda g, k=k: F.xxhash64(g, F.lit(k)))) for k in range(BANDS * ROWS)]
     return F.array(*(F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
 
@@ -54,7 +80,9 @@ def near_pairs(df: DataFrame, scope: str, key: str, form: str) -> DataFrame:
     Candidates share one of BANDS keys of least hashes and are of about one length; a pair is verified once. Two texts of a
     share of common sequences of 0.6 meet with a probability over 0.99; equal forms always meet. Null forms match nothing."""
     base = durable(df.where(F.length(form) > 0).select(scope, key, F.col(form).alias("form"), F.length(form).alias("size")))
-    keyed = base.select(key, "size", scope, F.explode(_bands(F.col("form"))).alias("band"))
+    words = base.select(key, "size", scope, F.explode(F.array(F.split("form", " "))).alias("words"))  # once a row
+    grams = words.select(key, "size", scope, F.explode(F.array(_grams(F.col("words")))).alias("grams"))
+    keyed = grams.select(key, "size", scope, F.explode(_bands(F.col("grams"))).alias("band"))
     rows = keyed.select(key, "size", F.xxhash64(scope, "band").alias("bucket"))
     close = (F.least("size_x", "size_y") >= RATIO * F.greatest("size_x", "size_y")) & ((F.least("size_x", "size_y") >= SHORT) | (F.col("size_x") == F.col("size_y")))
     wanted = durable(meet(rows, "bucket", key, ["size"]).where(close).select(f"{key}_x", f"{key}_y").distinct())
@@ -97,8 +125,8 @@ def contained(df: DataFrame, key: str) -> DataFrame:
     the inner by the rarest of its own, and only what meets is searched; nothing of a scope is compared with all of it. Texts too
     short of tokens for a sequence of their own meet their scope's longer texts that have such a token."""
     base = durable(df.select(key, "doc", "type", "form", F.xxhash64("doc", "type").alias("scope")))
-    tokens = base.select(key, "scope", F.length("form").alias("size"), F.regexp_extract_all("form", F.lit(r"[a-z0-9]+|[^\sa-z0-9]"), F.lit(0)).alias("tokens"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - GRAM + 1, F.lit(1))), lambda i: F.xxhash64("scope", F.array_join(F.slice("tokens", i, F.lit(GRAM)), " ")))
+    tokens = base.select(key, "scope", F.length("form").alias("size"), F.explode(F.array(F.regexp_extract_all("form", F.lit(r"[a-z0-9]+|[^\sa-z0-9]"), F.lit(0)))).alias("tokens"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - GRAM + 1, F.lit(1))), lambda i: F.xxhash64("scope", F.slice("tokens", i, F.lit(GRAM))))
     outer = tokens.where(F.size("tokens") >= GRAM).select(F.col(key).alias("outer"), F.col("size").alias("outer_size"), F.explode(F.array_distinct(grams)).alias("gram"))
     inner = tokens.where(F.col("size") >= LEAST_CONTAINED)
     own = F.slice(grams, F.lit(2), F.size("tokens") - GRAM - 1)  # without the first and the last token

@@ -118,14 +118,14 @@ def is_search_content(policy_type: Column) -> Column:
 
 def distinct_line_share(text: Column) -> Column:
     """Different non-blank lines (trimmed, lower case) by all of them; null without lines."""
-    lines = F.filter(F.transform(F.split(F.lower(text), r"\r\n?|\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.lower(text), r"\r\n?|\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.size(F.array_distinct(lines)) / F.nullif(F.size(lines), F.lit(0))
 
 
 def is_pdf_text(text: Column) -> Column:
     """Whether a text can be a document out of a PDF: 500 characters, under two signs of a viewer, lines that differ, 250 letters and digits."""
     clean = F.coalesce(t.cleaned(text), F.lit(""))
-    lines = F.filter(F.transform(F.split(F.lower(clean), r"\r\n?|\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.lower(clean), r"\r\n?|\n"), lambda x: F.trim(x)), lambda x: x != "")
     varied = (F.size(lines) < 10) | (F.size(F.array_distinct(lines)) >= 0.10 * F.size(lines))
     return (F.length(clean) >= LEAST_POLICY) & (t.hits(F.lower(clean), lx.VIEWER_PHRASES) < 2) & varied & (F.length(F.regexp_replace(clean, r"[^\p{L}\p{N}]", "")) >= LEAST_ALNUM)
 
