@@ -81,11 +81,15 @@ def clauses(df: DataFrame, key: str, text: str, lexicon: Lexicon = POLICY) -> Da
     Of clauses of a category with the same first 100 characters the first stays, the first MOST_CLAUSES of a text count, and
     those that state no provision are left out. Excerpts keep whole sentences (``repaired``)."""
     base = df.where(F.length(F.trim(text)) >= LEAST_TEXT).select(key, F.col(text).alias("source"))
-    parts = sections(base, [key, "source"], "source")
-    by_section = matches(parts, [key, "source", "section_no"], "section", lexicon).select(key, "section_no", "rule_no", "title", "category", "source", F.col("section").alias("cut"))
+    by_section = matches(sections(base, [key], "source"), [key, "section_no"], "section", lexicon).select(key, "section_no", "rule_no", "title", "category", F.lit(False).alias("whole"), F.col("section").alias("cut"))
     flat = base.select(key, F.explode(F.array(t.collapsed(F.col("source")))).alias("flat"))
-    whole = matches(flat, [key], "flat", lexicon).select(key, F.lit(None).cast("int").alias("section_no"), "rule_no", "title", "category", F.col("flat").alias("source"), excerpt(F.col("flat"), F.col("at"), F.col("size")).alias("cut"))
-    both = by_section.unionByName(whole).withColumn("source_text", repaired("source", "cut")).where(F.length("source_text") >= LEAST_EXCERPT).drop("source", "cut")
+    whole = matches(flat, [key], "flat", lexicon).select(key, F.lit(None).cast("int").alias("section_no"), "rule_no", "title", "category", F.lit(True).alias("whole"), excerpt(F.col("flat"), F.col("at"), F.col("size")).alias("cut"))
+    found = by_section.unionByName(whole)
+    # a text meets its excerpts once; a text has at most one for each rule and section
+    cuts = found.groupBy(key, "whole").agg(F.collect_set("cut").alias("cuts")).join(base, key)
+    held = cuts.withColumn("source", F.when(F.col("whole"), t.collapsed(F.col("source"))).otherwise(F.col("source")))
+    fixed = held.select(key, "whole", F.explode(F.arrays_zip("cuts", _repaired_all("source", "cuts").alias("fixed"))).alias("f")).select(key, "whole", F.col("f.cuts").alias("cut"), F.col("f.fixed").alias("source_text"))
+    both = found.join(fixed, [key, "whole", "cut"]).where(F.length("source_text") >= LEAST_EXCERPT).drop("cut", "whole")
     order = [F.asc_nulls_last("section_no"), F.col("rule_no")]
     same = Window.partitionBy(key, "category", F.lower(F.substring("source_text", 1, 100))).orderBy(*order)
     once = both.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
@@ -115,13 +119,13 @@ def _flat(text: str) -> tuple[str, list[int]]:
     return "".join(out), places
 
 
-def repair(source: str | None, excerpt: str | None) -> str | None:
+def repair(source: str | None, excerpt: str | None, known: tuple[str, list[int]] | None = None) -> str | None:
     """An excerpt widened to whole words and sentences of its source; ``''`` if the sentence begins before the source does.
 
-    An excerpt that the source does not hold, or that is null or empty, stays as it is."""
+    An excerpt that the source does not hold, or that is null or empty, stays as it is; ``known`` is the source's ``_flat``."""
     if not source or not excerpt:
         return excerpt
-    flat, places = _flat(source)
+    flat, places = known or _flat(source)
     wanted = _flat(excerpt)[0]
     at = flat.find(wanted) if wanted else -1
     if at < 0:
@@ -169,6 +173,11 @@ def _repaired(sources: pd.Series, excerpts: pd.Series) -> pd.Series:
     return pd.Series([repair(s, e) for s, e in zip(sources, excerpts, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _repaired_all(sources: pd.Series, excerpts: pd.Series) -> pd.Series:
+    return pd.Series([(lambda known, s=s: [repair(s, e, known) for e in es])(_flat(s)) for s, es in zip(sources, excerpts, strict=True)], dtype=object)
+
+
 def repaired(source: str, excerpt: str) -> Column:
     """``repair`` of two columns, over Arrow batches: offsets into a text have no built-in."""
     return _repaired(F.col(source), F.col(excerpt))

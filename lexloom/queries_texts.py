@@ -4,9 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import html, text, urls
-from lexloom.operators import answers, chunks, classify, documents, extract, scores
-from lexloom.operators import lexicon as lx
-from lexloom.queries_rules import _CATEGORY, _CLEANED, _LEVEL, _WHITE, _collapsed, _host, _q, _TYPE
+from lexloom.operators import answers, classify, dedupe, documents, extract, scores
+from lexloom.queries_rules import _CLEANED, _HTTP, _LEVEL, _WHITE, _collapsed, _host, _part, _q
 from lexloom.sources.tables import table
 from lexloom.streaming import runs as store
 
@@ -41,8 +40,6 @@ def page_candidates(spark, base):
     found = links.select("priority", "row_id", "n", urls.resolve(F.col("url"), F.col("link.url")).alias("url"))
     fetched = table(spark, base, "firecrawl_scrape").select(F.lit(1).alias("priority"), F.col("scrape_id").alias("row_id"), F.lit(0).alias("n"), "url")
     each = found.unionByName(fetched).select("priority", "row_id", "n", urls.canonical(F.col("url")).alias("canonical"), urls.locale_family(F.col("url")).alias("family"), F.col("url").alias("given")).where("canonical is not null")
-    from lexloom.operators import dedupe
-
     first = dedupe.first_by(each, [F.col("canonical")], [F.col("priority"), F.col("row_id"), F.col("n")])
     return dedupe.without_locale_copies(first, "canonical", "family").select("canonical", "priority", "row_id", classify.type_of_url(F.col("given")).alias("type"))
 
@@ -137,7 +134,7 @@ def stage3_overall(spark, base):
     rows = table(spark, base, "clause_analysis").where("run_id is not null").select("run_id", "row_id", F.coalesce(F.least(F.greatest((F.col("risk_score") / 10).cast("int"), F.lit(0)), F.lit(10)), F.lit(0)).alias("score10"), "risk_score")
     alone = scores.overall(rows, "run_id", "score10", "row_id").select("run_id", F.col("overall_weighted").alias("alone"))
     given = rows.groupBy("run_id").agg(F.max("risk_score").alias("top"))
-    both = alone.join(given, "run_id").withColumn("given", F.when(F.pmod(F.crc32("run_id"), F.lit(2)) == 0, F.col("top")))
+    both = alone.join(given, "run_id").withColumn("given", F.when(F.substring("run_id", 1, 1).between("0", "7"), F.col("top")))
     score = F.when(F.col("given").isNotNull(), answers.score100(F.col("given").cast("string"))).otherwise(F.col("alone"))
     level = F.when(F.col("given").isNotNull(), classify.level(score)).otherwise(answers.level10(F.lit(None).cast("string"), F.col("alone")))
     return both.select("run_id", score.cast("int").alias("score"), level.alias("level"))
@@ -173,8 +170,8 @@ _ANSWER = f"CASE WHEN lower(trim({{0}})) IN ({', '.join(_q(x) for x in answers.A
 
 def _grounded(e: str) -> str:
     parts = rf"list_filter(list_transform(regexp_split_to_array({e}, '\.{{3,}}|…'), lambda x: trim(x)), lambda x: x <> '')"
-    two = f"len({parts}) = 2 AND length({parts}[1]) >= 12 AND length({parts}[2]) >= 12 AND instr(s, {parts}[1]) > 0 AND instr(substring(s, instr(s, {parts}[1]) + length({parts}[1])), {parts}[2]) > 0"
-    return f"coalesce(length({e}) >= 20 AND (contains(s, {e}) OR ({two})), false)"
+    rest = f"list_reduce({parts}, lambda y, x: CASE WHEN length(x) >= 12 AND instr(y, x) > 0 THEN substring(y, instr(y, x) + length(x)) END, s)"
+    return f"coalesce(length({e}) >= 20 AND (contains(s, {e}) OR (len({parts}) >= 2 AND {rest} IS NOT NULL)), false)"
 
 
 def _form(t: str) -> str:
@@ -188,7 +185,45 @@ def _form(t: str) -> str:
 _SPLIT = r"unnest(regexp_split_to_array(regexp_replace(content, '\n(\s*(?:[0-9]+[.)]|[A-Z\s]{3,}:|#+\s+|Section\s+[0-9]+))', chr(10) || chr(10) || '\1', 'g'), '\n\s*\n'))"
 _PAGE = rf"regexp_replace(regexp_replace(regexp_replace(browser_page_text, '&', '&amp;', 'g'), '<', '&lt;', 'g'), '\r?\n', '</p>' || chr(10) || '<p>', 'g')"
 
+# a link made absolute: absolute, //host, /path, ?query, relative to the page's folder
+_LINK = "regexp_replace(trim(link_url), '#.*$', '')"
+_FOLDER = f"CASE WHEN regexp_replace({_part(3)}, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace({_part(3)}, '[^/]*$', '') END"
+_RESOLVED = f"""CASE WHEN {_LINK} = '' OR link_url IS NULL OR NOT {_HTTP} THEN NULL WHEN regexp_matches({_LINK}, '^(?i:https?)://[^/?#]') THEN {_LINK} WHEN regexp_matches({_LINK}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with({_LINK}, '//') THEN {_part(1)} || ':' || {_LINK} WHEN starts_with({_LINK}, '/') THEN {_part(1)} || '://' || {_part(2)} || {_LINK} WHEN starts_with({_LINK}, '?') THEN {_part(1)} || '://' || {_part(2)} || coalesce(nullif({_part(3)}, ''), '/') || {_LINK}
+    ELSE {_part(1)} || '://' || {_part(2)} || ({_FOLDER}) || {_LINK} END"""
+_CANONICAL = f"CASE WHEN {_HTTP} THEN regexp_replace(lower({_part(1)} || '://' || {_part(2)} || {_part(3)}), '/+$', '') END"
+_TARGET = f"CASE WHEN {_HTTP.replace('url', 'target')} THEN regexp_replace(lower({_part(1, 'target')} || '://' || {_part(2, 'target')} || {_part(3, 'target')}), '/+$', '') END"
+_COMPACT_T = f"regexp_replace(lower({_part(3, 'target')}), '[^a-z0-9]+', '', 'g')"
+
+# sentences end at a mark before a space; the text is collapsed, so a line break can part them
+_SENTENCES = r"list_filter(string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lambda x: length(x) >= 40)"
+_DATED = r"\b(?:last updated|effective date|revision date) ?[:-]? ?[a-z0-9, /.-]+"
+
 SQL = {
+    "first_sentences": f"SELECT row_id, substring(coalesce({_SENTENCES}[1], t), 1, 500) AS sentence FROM (SELECT row_id, {_collapsed('source_text')} AS t FROM clause_analysis WHERE length(source_text) > 0)",
+    "text_forms": f"""
+        WITH a AS (SELECT scrape_id, {_collapsed('content')} AS flat, {_CLEANED} AS clean, list_filter(list_transform(regexp_split_to_array(content, '\\r\\n?|\\n'), lambda x: {_collapsed('x')}), lambda x: x <> '') AS lines, regexp_replace(lower(content), '{_WHITE}', ' ', 'g') AS low FROM firecrawl_scrape WHERE length(content) > 0)
+        SELECT scrape_id, CAST(length(flat) AS INTEGER) AS n_collapsed, CAST(length(clean) AS INTEGER) AS n_cleaned, md5(array_to_string(lines, chr(10))) AS squeezed, CAST(length(regexp_replace(regexp_replace(low, '{_DATED}', ' ', 'g'), '^ +| +$', '', 'g')) AS INTEGER) AS n_undated FROM a""",
+    "page_links": f"""
+        WITH a AS (SELECT request_id, url, unnest(browser_links).url AS link_url FROM agent1_request), b AS (SELECT request_id, {_host()} AS site, {_RESOLVED} AS target FROM a),
+        c AS (SELECT request_id, {_TARGET} AS target, site <> '' AND (site = {_host('target')} OR ends_with({_host('target')}, '.' || site)) AS same_site FROM b WHERE target IS NOT NULL)
+        SELECT request_id, target, same_site, count(*) AS n FROM c GROUP BY ALL""",
+    "page_candidates": f"""
+        WITH links AS (SELECT request_id, url, unnest(browser_links).url AS link_url, unnest(range(len(browser_links))) AS n FROM agent1_request),
+        each AS (SELECT 0 AS priority, request_id AS row_id, n, {_RESOLVED} AS target FROM links UNION ALL SELECT 1, scrape_id, 0, url FROM firecrawl_scrape),
+        named AS (SELECT *, {_TARGET} AS canonical, list_filter(string_split(lower({_part(3, 'target')}), '/'), lambda x: x <> '') AS segments FROM each),
+        first_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY priority, row_id, n) AS k FROM named WHERE canonical IS NOT NULL) WHERE k = 1),
+        family AS (SELECT *, CASE WHEN len(segments) >= 3 AND segments[1] IN ('policy', 'policies') AND regexp_full_match(segments[2], '[a-z]{{2}}') THEN lower({_part(1, 'target')}) || '://' || lower({_part(2, 'target')}) || '/' || segments[1] || '/' || array_to_string(segments[3:], '/') ELSE '' END AS fam, {_COMPACT_T} AS c FROM first_)
+        SELECT canonical, priority, row_id, CASE WHEN regexp_matches(c, 'privacy|dataprotection') THEN 'privacy' WHEN regexp_matches(c, 'cookie') THEN 'cookies'
+            WHEN regexp_matches(c, 'termsandconditions|termsofuse|termsofservice|useragreement|terms$|termsconditions$') THEN 'terms' WHEN regexp_matches(c, 'return|refund|cancellation') THEN 'returns'
+            WHEN regexp_matches(c, 'payment|fees') THEN 'payments' WHEN regexp_matches(c, 'promotion|offerterms') THEN 'promotions' WHEN regexp_matches(c, 'legal|disclaimer|agreement|policy$') THEN 'legal' ELSE 'other' END AS type
+        FROM family f WHERE NOT EXISTS (SELECT 1 FROM first_ o WHERE o.canonical = f.fam)""",
+    "stage3_overall": f"""
+        WITH a AS (SELECT run_id, row_id, risk_score, coalesce(least(greatest(risk_score // 10, 0), 10), 0) AS s FROM clause_analysis WHERE run_id IS NOT NULL),
+        best AS (SELECT *, CAST([0.40, 0.25, 0.15, 0.10, 0.10][n] AS DOUBLE) AS w FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, row_id) AS n FROM a) WHERE n <= 5),
+        alone AS (SELECT run_id, CAST(round_even(sum(s * w) / sum(w), 0) AS INTEGER) AS alone FROM best GROUP BY run_id), top_ AS (SELECT run_id, max(risk_score) AS top FROM a GROUP BY run_id)
+        SELECT run_id, CASE WHEN given IS NOT NULL THEN least(greatest(given, 0), 100) ELSE alone END AS score, CASE WHEN given IS NOT NULL THEN {_LEVEL.format('given')} WHEN alone <= 2 THEN 'low' WHEN alone <= 6 THEN 'medium' WHEN alone <= 8 THEN 'high' ELSE 'critical' END AS level
+        FROM (SELECT run_id, alone, CASE WHEN substring(run_id, 1, 1) BETWEEN '0' AND '7' THEN top END AS given FROM alone JOIN top_ USING (run_id))""",
     "html_text": rf"""
         WITH a AS (SELECT request_id, '<html><head><style>p{{}}</style><SCRIPT type=''a''>if (a<b) {{}}' || chr(10) || '</SCRIPT></head><body><nav><a href=''/x''>Menu</a></nav><main><p>' || {_PAGE} || '</p><br/>end&nbsp;&quot;of&quot; page</main><footer>foot</footer></body></html>' AS h FROM agent1_request WHERE length(browser_page_text) > 0),
         b AS (SELECT request_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<style\b[^>]*>.*?</style>', ' ', 'gis'), '<script\b[^>]*>.*?</script>', ' ', 'gis'), '</?(?:p|div|section|article|main|h[1-6]|li|br|tr)\b[^>]*>', chr(10), 'gi'), '<[^>]+>', ' ', 'g') AS t FROM a),
