@@ -3,13 +3,15 @@
 The corpus is indexed by suffix arrays over words, one per shard (an Arrow batch of a partition): the suffixes that can
 match (their first WORDS words all belong to the items' vocabulary) are sorted, and every suffix of every item is looked
 up by binary search; neighbours in the array give the longest verbatim match and where it lies. Documents are read once
-and never shuffled; what moves is the few matches. The items are sent to the executors in blocks of at most BLOCK items,
-so their number is no limit.
+and never shuffled; what moves is the few matches. The items reach the executors as blocks of at most BLOCK_CHARS
+characters, which pass through the driver one at a time; each shard is searched for all blocks in the one pass.
 
 Cases: null and empty texts and texts under WORDS words match nothing; an item that occurs twice among the items is
 reported under both ids; a document that stands twice is reported twice.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,8 @@ from lexloom.llm.words import WORD
 from lexloom.operators.cluster import arrow_map
 
 WORDS = 12
-BLOCK = 20_000  #: items in a block; a block's words are some tens of MB at most
+BLOCK_CHARS = 16_000_000  #: characters of the items in a block, whose index has some 100 MB
+HELD_BLOCKS = 4  #: blocks that a worker holds at once
 SCHEMA = "doc_id bigint, item_id bigint, item_word int, doc_word int, n_words int"
 
 
@@ -28,7 +31,7 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str], least: int):
         self.least, self.vocabulary = least, {}
-        streams, self.item, self.word = [], [], []
+        self.item, self.word = [], []
         flat: list[int] = []
         starts: list[int] = []
         for i, text in zip(ids, texts, strict=True):
@@ -42,6 +45,7 @@ class Items:
                 self.word.append(k)
             flat += [*numbers, 0]
         self.flat, self.starts = np.array([*flat, *[0] * least], np.int32), np.array(starts, np.int64)
+        self.item, self.word = np.array(self.item, np.int64), np.array(self.word, np.int64)
         self.keys = _keys(self.flat, self.starts, least)
 
 
@@ -72,42 +76,57 @@ def search(texts: list[str | None], items: Items) -> list[tuple[int, int, int, i
     order = np.argsort(keys, kind="stable")  # the suffix array, as deep as a match must be
     keys, starts = keys[order], starts[order]
     low, high = np.searchsorted(keys, items.keys, "left"), np.searchsorted(keys, items.keys, "right")
-    offsets_a = np.array(offsets, np.int64)
-    out = []
-    for q in np.flatnonzero(high > low):
-        a = int(items.starts[q])
-        for p in starts[low[q] : high[q]]:
-            p = int(p)
-            if a and p and items.flat[a - 1] and items.flat[a - 1] == flat[p - 1]:
-                continue  # part of a longer match that begins before
-            n = least
-            while items.flat[a + n] and items.flat[a + n] == flat[p + n]:
-                n += 1
-            doc = int(np.searchsorted(offsets_a, p, "right")) - 1
-            out.append((doc, items.item[q], items.word[q], p - offsets[doc], n))
-    return out
+    hit = np.flatnonzero(high > low)
+    count = high[hit] - low[hit]
+    q = np.repeat(hit, count)
+    if not len(q):
+        return []
+    within = np.arange(len(q)) - np.repeat(np.cumsum(count) - count, count)
+    p, a = starts[low[q] + within], items.starts[q]
+    # what begins before both is part of a longer match
+    before = (a > 0) & (p > 0) & (items.flat[a - 1] != 0) & (items.flat[a - 1] == flat[p - 1])
+    q, p, a = q[~before], p[~before], a[~before]
+    size = np.full(len(q), least)
+    open_ = np.arange(len(q))
+    while len(open_):  # all open matches grow by a word at once
+        x, y = items.flat[a[open_] + size[open_]], flat[p[open_] + size[open_]]
+        open_ = open_[(x != 0) & (x == y)]
+        size[open_] += 1
+    places = np.array(offsets, np.int64)
+    doc = np.searchsorted(places, p, "right") - 1
+    return list(zip(doc.tolist(), items.item[q].tolist(), items.word[q].tolist(), (p - places[doc]).tolist(), size.tolist(), strict=True))
+
+
+def item_blocks(items: DataFrame, words: int) -> Iterator[Items]:
+    """The items as blocks of at most BLOCK_CHARS characters (or one longer item), one after the other."""
+    ids, texts, size = [], [], 0
+    for r in items.select("item_id", "text").where("text is not null").toLocalIterator():
+        if ids and size + len(r.text) > BLOCK_CHARS:
+            yield Items(ids, texts, words)
+            ids, texts, size = [], [], 0
+        ids.append(r.item_id)
+        texts.append(r.text)
+        size += len(r.text)
+    if ids:
+        yield Items(ids, texts, words)
 
 
 def matches(docs: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
     """SCHEMA's columns: every longest run of at least ``words`` words that a document (doc_id, text) and an item (item_id, text) share."""
-    items = items.select("item_id", "text").where("text is not null")
-    count = items.count()
-    blocks = max(1, -(-count // BLOCK))
-    found = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
-        block = Items([r.item_id for r in part], [r.text for r in part], words)
-
-        def run(batches, block=block):
-            for b in batches:
-                ids = b.column(0).to_pylist()
-                rows = search(b.column(1).to_pylist(), block)
+    context = docs.sparkSession.sparkContext
+    blocks = [context.broadcast(block) for block in item_blocks(items, words)]
+
+    def run(batches):
+        for b in batches:
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for block in blocks:
+                rows = search(texts, block.value)
+                if len(blocks) > HELD_BLOCKS:
+                    block._value = None  # read again from the worker's disk when its turn comes
                 columns = [pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[j] for r in rows], pa.int32()) for j in (2, 3, 4))], ["doc_id", "item_id", "item_word", "doc_word", "n_words"])
 
-        now = arrow_map(docs.select("doc_id", "text"), run, SCHEMA)
-        found = now if found is None else found.unionByName(now)
-    return found
+    return arrow_map(docs.select("doc_id", "text"), run, SCHEMA)
 
 
 def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
