@@ -3,7 +3,7 @@
 A text is first cut into units: a blank line ends one, and so does any line break that is not the wrapping of a
 paragraph (a wrapped line is one to which the next line's first word could not have been added). Inside a unit the
 standard sentence-break properties decide: a terminator, its closing quotes and brackets, white space. A full stop is
-suppressed after abbreviations (by language), initials and ordinals, and before a lower-case continuation; a terminator
+suppressed after abbreviations (those of all languages, less the words of the languages a text is in), initials and ordinals, and before a lower-case continuation; a terminator
 inside quotation marks ends nothing where the sentence goes on after them. Thai, which has no terminator, is cut at the
 spaces between clauses.
 
@@ -14,6 +14,8 @@ points from 0; repeated rows give repeated results.
 import re
 import unicodedata
 from bisect import bisect_left
+from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,12 +25,49 @@ from lexloom.operators.cluster import arrow_map
 #: Terminators that end a sentence wherever they stand (property STerm but for ! and ?).
 STERM = "։؟۔।॥၊။።፧፨᙮᠃᠉᥄᥅᭚᭛᭞᭟᰻᰼᱾᱿‼‽⁇⁈⁉⸮。꓿꘎꘏꛳꛷꡶꡷꣎꣏꩝꩞꩟꫰꫱꯫﹒﹖﹗！？｡"
 CLOSE = "\"'”’»›)]}」』）】〉》｣"
-#: Abbreviations after which a sentence goes on, whatever follows.
-ALWAYS = frozenset(
-    "dr dra mr mrs ms mme mlle prof st sr sra srta hr fr frau herr jr. rev gen hon pres gov capt lt vs e.g i.e z.b d.h u.a o.ä p.ex c.-à-d bzw ggf vgl bspw sog usw.u ee cf viz approx aprox env ca resp incl inkl exkl zzgl डॉ श्री सुश्री د أ م".split()
-)
-#: Abbreviations after which it goes on before a number.
-BEFORE_NUMBER = frozenset("no nos nr nrn núm num fig figs sec secs art arts abs al pág págs pag párr ch chap vol p pp para pars par cl s ss ziff kap ed eq ref tab annex app n".split())
+#: By language: abbreviations after which a sentence goes on, whatever follows; and those after which it goes on before a number.
+ABBREVIATIONS = {
+    "en": ("dr mr mrs ms prof st sr jr. rev gen hon pres gov capt lt vs e.g i.e cf viz approx incl resp", "no nos fig figs sec secs art arts ch chap vol p pp para pars par cl s ss ed eq ref tab annex app n"),
+    "de": ("dr prof st hr fr frau herr z.b d.h u.a o.ä bzw ggf vgl bspw sog usw.u ca inkl exkl zzgl resp", "nr nrn art abs ziff kap s lit tab anl n"),
+    "fr": ("dr m mm mme mlle st p.ex c.-à-d env cf resp incl ca", "no nos art arts al p pp par chap fig s n"),
+    "es": ("dr dra sr sra srta prof st p.ej p.ex ee aprox cf vs ca", "núm no nos art arts pág págs pag párr cap fig s p pp n"),
+    "hi": ("डॉ श्री सुश्री", ""),
+    "ar": ("د أ م", ""),
+}
+#: Words by which a text's languages are told. Fixed values.
+COMMON = {
+    "en": "the of and to is for with by our are not which will", "de": "der die das und für nicht mit von wir ist auf eine des", "fr": "le la les des et du une nous pour dans est pas par", "es": "el los las y de una nosotros para con por que del se",
+}
+_COMMON = {lang: frozenset(words.split()) for lang, words in COMMON.items()}
+_SCRIPTS = (("hi", re.compile("[\u0900-\u097f]")), ("ar", re.compile("[\u0600-\u06ff]")))
+LEAST_PART = 0.2  #: of the commonest language's hits that another must have to count as one of a text's
+
+
+#: Abbreviations of one language that are words of another: where a text has that other and not the first, they are words.
+WORDS_OF = {"en": "al cap art par no env tab app gen ee s", "de": "al cap no par para env ch app", "fr": "al no para cl sr st hon app", "es": "para par no al cl ch gen hon st env app"}
+
+
+@lru_cache(maxsize=256)
+def abbreviations(languages: tuple[str, ...]) -> tuple[frozenset[str], frozenset[str]]:
+    """(abbreviations before anything, before numbers) for a text in some languages: those of all languages, as a text may quote any,
+    but for the ones that are words of one of its languages and abbreviations of none of them."""
+    out = []
+    for k in (0, 1):
+        own = {w for x in languages for w in ABBREVIATIONS[x][k].split()}
+        words = {w for x in languages for w in WORDS_OF.get(x, "").split()} - own
+        out.append(frozenset(w for x in ABBREVIATIONS.values() for w in x[k].split()) - words)
+    return out[0], out[1]
+
+
+def languages(text: str) -> tuple[str, ...]:
+    """The languages of a text that have abbreviations: by its common words and scripts, since a column that names one may be wrong; none for no sign of any."""
+    counts = Counter(text.lower().split())
+    hits = {lang: sum(counts[w] for w in words) for lang, words in _COMMON.items()}
+    most = max(hits.values())
+    found = [lang for lang, n in hits.items() if n and n >= LEAST_PART * most]
+    return tuple(found + [lang for lang, script in _SCRIPTS if script.search(text)])
+
+
 #: Abbreviations that may end a sentence: it goes on before a lower-case letter only, or before one of the listed words.
 FIRM = {"co": ("kg", "kgaa", "ohg", "inc", "ltd"), "inc": (), "ltd": (), "corp": (), "etc": (), "a.m": (), "p.m": (), "u.s": (), "u.k": (), "usw": ()}
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
@@ -44,8 +83,7 @@ _THAI = re.compile("[\u0e00-\u0e7f]")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])[^\S\n]*\n?[^\S\n]+(?=[฀-๿])|(?<=[฀-๿])\n(?=[฀-๿])")
 _FIRST_LETTER = re.compile(r"[^\W\d_]")
 _QUOTES = re.compile(r"[“”„«»「」『』\"]")
-LONGEST_QUOTE = 600
-AHEAD = 120  #: characters after a terminator that tell whether the sentence goes on
+_NEXT = re.compile(r"\S")
 WIDEST_WRAP, LEAST_WRAP = 120, 35
 
 
@@ -104,7 +142,7 @@ def units(text: str) -> list[tuple[int, int]]:
 
 
 def _quoted(text: str) -> list[tuple[int, int]]:
-    """Places of matched quotations."""
+    """Places of matched quotations, in order; one inside another is part of it."""
     found, stack = [], []
     for m in _QUOTES.finditer(text):
         c, i = m.group(), m.start()
@@ -126,19 +164,45 @@ def _quoted(text: str) -> list[tuple[int, int]]:
                 stack.pop()
             if stack:
                 found.append((stack.pop()[1], i))
-    return sorted((a, z) for a, z in found if z - a <= LONGEST_QUOTE)
+    outer: list[tuple[int, int]] = []
+    for a, z in sorted(found):
+        if not outer or a > outer[-1][1]:
+            outer.append((a, z))
+    return outer
 
 
 def _lower_next(text: str, at: int) -> bool:
     """Whether the next letter from ``at`` on is a lower-case one that starts no capitalised name (iName)."""
-    m = _FIRST_LETTER.search(text, at, at + 60)
+    m = _FIRST_LETTER.search(text, at)
     if not m:
         return False
     c, i = m.group(), m.start()
     return c.islower() and not text[i + 1 : i + 2].isupper()
 
 
-def _ends(text: str, quotes: list[tuple[int, int]]) -> list[int]:
+_WORD_AT = re.compile(r"\w*")
+
+
+def _next(text: str, at: int) -> int:
+    """The place of the next character from ``at`` on that is no white space."""
+    m = _NEXT.search(text, at)
+    return m.start() if m else len(text)
+
+
+def _char(text: str, at: int) -> str:
+    n = _next(text, at)
+    return text[n : n + 1]
+
+
+def _word_before(text: str, at: int) -> re.Match | None:
+    """The word that ends at a place: back to white space, an opening mark or a dash."""
+    k = at
+    while k and not text[k - 1].isspace():
+        k -= 1
+    return _WORD_BEFORE.search(text[k:at])
+
+
+def _ends(text: str, quotes: list[tuple[int, int]], always: frozenset[str], before_number: frozenset[str]) -> list[int]:
     """Places after the sentences' last characters in a unit, without its end."""
     out, size = [], len(text)
     mark = _MARK.match(text)
@@ -152,11 +216,10 @@ def _ends(text: str, quotes: list[tuple[int, int]]) -> list[int]:
         if end >= size:
             break
         inside = None
-        if quotes:  # sorted by their starts, none longer than LONGEST_QUOTE
-            for a, z in quotes[bisect_left(quotes, (i - LONGEST_QUOTE, 0)) : bisect_left(quotes, (i, 0))]:
-                if i < z:
-                    inside = (a, z)
-                    break
+        if quotes:  # the last that begins before
+            k = bisect_left(quotes, (i, 0)) - 1
+            if k >= 0 and i < quotes[k][1]:
+                inside = quotes[k]
         if inside and end <= inside[1]:
             continue  # the quotation goes on
         following = text[end]
@@ -164,11 +227,12 @@ def _ends(text: str, quotes: list[tuple[int, int]]) -> list[int]:
         hard = any(c in STERM for c in signs)
         if inside:
             # the terminator closes a quotation; the sentence ends with it unless it goes on
-            rest = text[end : end + AHEAD].lstrip()
+            n = _next(text, end)
+            rest = text[n : n + 1]
             if not rest or rest[0] in ",;:，、；：" or rest[0] in "とって" or rest[0] == "—":
                 continue
             if _wide(rest[0]) or hard:
-                if REPORT.match(rest):
+                if REPORT.match(text, n):
                     continue
             elif _lower_next(text, end):
                 continue
@@ -183,14 +247,14 @@ def _ends(text: str, quotes: list[tuple[int, int]]) -> list[int]:
             continue
         if "!" in signs or "?" in signs:
             if space or _wide(following) or following in "“„«「":
-                if not (text[end : end + AHEAD].lstrip()[:1] in ",;"):
+                if not (_char(text, end) in ",;"):
                     out.append(end)
             continue
         # full stops
         if not space:
             left = text[max(0, i - 2) : i]
             if len(signs) == 1 and end == j and following.isupper() and text[j + 1 : j + 2].islower() and len(left) == 2 and left.islower() and left.isalpha():
-                w = _WORD_BEFORE.search(text[max(0, i - 40) : i])
+                w = _word_before(text, i)
                 if w and not any(c in w.group() for c in "@/."):
                     out.append(end)
             elif end > j and following in "“„«「(" or _wide(following) and not text[i - 1 : i].isdigit():
@@ -199,21 +263,21 @@ def _ends(text: str, quotes: list[tuple[int, int]]) -> list[int]:
         if _lower_next(text, end):
             continue
         if len(signs) == 1 and end == j:
-            w = _WORD_BEFORE.search(text[max(0, i - 40) : i])
+            w = _word_before(text, i)
             word = w.group().lower() if w else ""
-            after = text[end : end + AHEAD].lstrip()
-            if word in ALWAYS:
+            n = _next(text, end)
+            after, following_word = text[n : n + 1], _WORD_AT.match(text, n).group()
+            if word in always:
                 continue
             letters = word.rsplit(".", 1)[-1].rsplit("'", 1)[-1].rsplit("’", 1)[-1]
-            if letters in BEFORE_NUMBER and (after[:1].isdigit() or after[:1].isupper() and len(re.match(r"\w*", after).group()) == 1):
+            if letters in before_number and (after.isdigit() or after.isupper() and len(following_word) == 1):
                 continue
             if len(letters) == 1 and letters.isalpha() and word not in FIRM and not _wide(letters):
                 continue  # an initial
             if word in FIRM:
-                then = re.match(r"\w*", after).group().lower()
-                if then in FIRM[word]:
+                if following_word.lower() in FIRM[word]:
                     continue
-            elif word.isdigit() and len(word) <= 2 and re.match(r"[^\W\d_]*", after).group().lower() in MONTHS:
+            elif word.isdigit() and len(word) <= 2 and following_word.lower() in MONTHS:
                 continue
         out.append(end)
     return out
@@ -222,9 +286,10 @@ def _ends(text: str, quotes: list[tuple[int, int]]) -> list[int]:
 def sentences(text: str) -> list[tuple[int, int]]:
     """[start, end) of the sentences of a text, in code points, without white space at either end."""
     out: list[tuple[int, int]] = []
+    always, before_number = abbreviations(languages(text))
     for a, z in units(text):
         unit = text[a:z]
-        ends = _ends(unit, _quoted(unit) if _QUOTES.search(unit) else [])
+        ends = _ends(unit, _quoted(unit) if _QUOTES.search(unit) else [], always, before_number)
         if _THAI.search(unit):
             gaps = [m.start() for m in _THAI_GAP.finditer(unit)]
             if gaps:

@@ -49,14 +49,19 @@ def repeated_lines(df: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
 
 
 def cleaned(df: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """scrape_id, n_removed, content: every page with a content, without the lines its site repeats (``\\n`` between the rest)."""
-    gone = repeated_lines(df, least).groupBy("scrape_id").agg(F.collect_set("line_no").alias("gone"))
+    """scrape_id, n_removed, content: every page with a content, without the lines its site repeats (``\\n`` between the rest).
+
+    Here clusters of duplicate pages decide, not rows: a line in ``least`` rows that are copies of one page (an article
+    published again) is no boilerplate and stays."""
+    gone = repeated_lines(df, least).where(F.col("n_clusters") >= least).groupBy("scrape_id").agg(F.collect_set("line_no").alias("gone"))
     base = df.where(F.length("content") > 0).select("scrape_id", F.split("content", "\n").alias("lines"))
     kept = F.filter("lines", lambda x, i: ~F.coalesce(F.array_contains("gone", i + 1), F.lit(False)))
     return base.join(gone, "scrape_id", "left").select("scrape_id", F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.array_join(kept, "\n").alias("content"))
 
 
 def line_report(df: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """site, a, b, n_rows, n_clusters, n_days: the repeated lines with the days on which their pages were fetched."""
+    """site, a, b, n_rows, n_clusters, n_days, boilerplate: the repeated lines with the days on which their pages were fetched, and
+    whether ``cleaned`` takes them out."""
     day = repeated_lines(df, least).groupBy("site", "a", "b", "day").agg(F.max("n_rows").alias("n_rows"), F.max("n_clusters").alias("n_clusters"))
-    return day.groupBy("site", "a", "b").agg(F.max("n_rows").alias("n_rows"), F.max("n_clusters").alias("n_clusters"), F.count("day").alias("n_days"))
+    each = day.groupBy("site", "a", "b").agg(F.max("n_rows").alias("n_rows"), F.max("n_clusters").alias("n_clusters"), F.count("day").alias("n_days"))
+    return each.withColumn("boilerplate", F.col("n_clusters") >= least)
