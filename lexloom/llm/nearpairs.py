@@ -312,9 +312,9 @@ def _similarities(x: pa.Array, y: pa.Array) -> np.ndarray:
     return both / np.maximum(1, union)
 
 
-def pairs(df: DataFrame, share: float = SHARE) -> DataFrame:
+def pairs(df: DataFrame, share: float = SHARE, hot: int = HOT) -> DataFrame:
     """tbl, id_a, id_b (id_a < id_b): the pairs of records of ``df`` (tbl, row_id, text), copies as the module says."""
-    members, found = class_pairs(df, share)
+    members, found = class_pairs(df, share, hot)
     found = durable(found.select("tbl", "x", "y"))
     many = durable(members.where("n > 1"))
     # records of one text in classes of copies: u, the text's representative, and m, how many
