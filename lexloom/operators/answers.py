@@ -35,7 +35,7 @@ def parsed_items(raw: Column) -> Column:
 
 def strict_object(raw: Column) -> Column:
     """The JSON object of an answer in a code fence or bare, as a string; null for anything else."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"^```(?:json)?", ""), r"```$", ""))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"^```(?:json)?", ""), r"```$", ""), r"^\s+|\s+$", "")
     return F.when(F.from_json(bare, "map<string,string>").isNotNull() & F.regexp_replace(bare, r"^\s+", "").startswith("{"), bare)
 
 

@@ -18,7 +18,7 @@ def chunked(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     one before. A text within the size is one piece, as it is."""
     out, start, length = [], 0, len(text)
     if length <= size:
-        return [text]
+        return [text] if text else []
     while start < length:
         end = min(start + size, length)
         if end < length:
@@ -40,7 +40,7 @@ def chunked(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
             follow += 1
         while follow < length and text[follow].isspace():
             follow += 1
-        start = follow
+        start = min(follow, end)  # a word that goes on past the piece is cut, so that nothing is lost
     return out
 
 

@@ -18,7 +18,7 @@ from lexloom.operators.pairs import first_of, meet
 SHORT, RATIO, WINDOW, ALIKE = 1000, 0.90, 20_000, 0.96
 #: A change of a twenty-fifth of the characters, spread as widely as can be, leaves a third of the words of common lengths.
 LEAST_COMMON = 0.3
-BANDS, ROWS, SHINGLE = 20, 2, 3
+BANDS, ROWS, SHINGLE = 16, 2, 3
 LEAST_CONTAINED, GRAM = 80, 6
 
 
@@ -70,7 +70,11 @@ def _grams(words: Column) -> Column:
 
 def _bands(grams: Column) -> Column:
     """BANDS keys out of the least of the hashes, each re-keyed for each of the minima."""
-    least = [F.array_min(F.transform(grams, lambda g, k=k: F.xxhash64(g, F.lit(k)))) for k in range(BANDS * ROWS)]
+
+    def keyed(k: int) -> Column:
+        return F.array_min(F.transform(grams, lambda g: F.xxhash64(g, F.lit(k))))
+
+    least = [keyed(k) for k in range(BANDS * ROWS)]
     return F.array(*(F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
 
 

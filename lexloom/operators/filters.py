@@ -140,7 +140,7 @@ def is_clean_excerpt() -> Column:
 
 
 #: What a clause does, by sort of statement; over lower-cased, collapsed text.
-OPERATIVE = r"\b(?:shall|must|may not|may|will not|agrees? to|are required to|is required to|are entitled to|reserves? the right|is prohibited|are prohibited|are responsible|is responsible)\b"
+OPERATIVE = r"\b(?:shall|must|may not|may|will not|agrees? to|are required to|is required to|are entitled to|reserves? the right|is prohibited|are prohibited|not allowed|not permitted|are responsible|is responsible|owns?|belongs? to|grants?|waives?)\b"
 DEFINING = r"\b(?:means|refers to|is defined as|includes but is not limited to|for the purposes? of)\b"
 MATERIAL = r"\b(?:collect|share|disclose|retain|refund|terminat|suspend|indemnif|arbitrat|governed by|liab|renew|licen[cs]e|cancel)\w*"
 DESCRIPTIVE = r"\b(?:this (?:page|section|site|website) (?:lists|contains|shows|provides|describes)|links? to|click here|learn more|read more)\b"
