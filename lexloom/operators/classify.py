@@ -115,6 +115,27 @@ def search_score(url: Column, title: Column, snippet: Column, policy_type: Colum
     return out.otherwise(0)
 
 
+#: First segments of a shop's paths, under which no policy is looked for; phrases of a shop's pages.
+SHOP_PATHS = ("s", "product", "products", "p", "shop", "search", "category", "categories", "collection", "collections", "brand", "brands", "sale", "offer", "offers", "campaign", "campaigns", "catalog", "catalogue", "beauty", "skin", "makeup", "hair", "bath", "body")
+SHOP_SIGNALS = ("add to cart", "add to bag", "shop now", "buy now", "new arrivals", "best sellers", "sort by", "wishlist")
+
+
+def type_of_path(url: Column) -> Column:
+    """``type_of_url``, but '' below a shop's paths and for null."""
+    first = F.get(F.filter(F.split(F.lower(urls.part(url, 3)), "/"), lambda x: x != ""), F.lit(0))
+    return F.when(url.isNull() | F.coalesce(first.isin(*SHOP_PATHS), F.lit(False)), "").otherwise(type_of_url(url))
+
+
+def coarse_type(url: Column, label: Column) -> Column:
+    """The type that a link's URL and label name at a glance; ``legal`` for none."""
+    named = F.lower(F.concat_ws(" ", F.coalesce(url, F.lit("")), F.coalesce(label, F.lit(""))))
+
+    def has(*words: str) -> Column:
+        return text.has_any(named, words)
+
+    return F.when(has("privacy"), "privacy").when(has("cookie"), "cookies").when(has("refund", "return"), "returns").when(has("terms", "conditions"), "terms").otherwise("legal")
+
+
 def label(policy_type: Column) -> Column:
     """What a type is called where it is shown; ``Other`` for those without a name."""
     return F.coalesce(F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))[policy_type], F.lit("Other"))

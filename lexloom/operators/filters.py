@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as t
 from lexloom.functions import urls
+from lexloom.operators import classify
 from lexloom.operators import lexicon as lx
 
 LEAST_POLICY, LEAST_SUBSTANTIVE, LEAST_ALNUM, LONGEST_SHELL, LEAST_CLAUSE = 500, 1200, 250, 5000, 40
@@ -99,6 +100,12 @@ def is_substantive_page(policy_type: Column) -> Column:
     return (F.length("flat") >= LEAST_POLICY) & out.otherwise(True) & ~shop
 
 
+def is_browser_document(url: Column, policy_type: Column) -> Column:
+    """Of a prepared row: at least 500 characters, a path of the expected type, and no short page of a shop."""
+    shop = (t.hits(F.col("low"), classify.SHOP_SIGNALS) >= 3) & (F.length("flat") < LONGEST_SHELL)
+    return (F.length("flat") >= LEAST_POLICY) & F.coalesce(classify.type_of_path(url) == policy_type, F.lit(False)) & ~shop
+
+
 def is_search_content(policy_type: Column) -> Column:
     """Of a prepared row: at least 500 characters, fewer than three signs of a shop, at least two phrases of the type."""
     shop = ("add to bag", "add to cart", "shop now", "sort by popularity", "sort by price", "all products", "buy now", "wishlist", "shopping cart")

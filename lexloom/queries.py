@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexloom import queries_rules, queries_texts
+from lexloom import queries_rules, queries_texts, queries_views
 from lexloom.functions import text, urls
 from lexloom.operators import chunks, classify, dedupe, filters, scores
 from lexloom.operators.lexicon import CATEGORIES, POLICY
@@ -257,6 +257,6 @@ SQL = {
     "rebind": _REBIND,
 }
 
-for _more in (queries_rules, queries_texts):
+for _more in (queries_rules, queries_texts, queries_views):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import html, text
-from lexloom.operators import answers, categories, classify, documents, extract, factors, filters, pairs, scores
+from lexloom.operators import answers, categories, classify, documents, extract, factors, filters, pairs, scores, summary
 from lexloom.operators.lexicon import CLAUSE_RULES
+from lexloom.sources import pages
 
 
 def row(spark, schema, *values):
@@ -256,3 +257,44 @@ def test_rebound_uses_each_answer_once(spark):
     expected = spark.createDataFrame([("r", 1, "a"), ("r", 2, "a"), ("r", 3, "b"), ("r", 4, None)], "run string, position int, clause_id string")
     given = spark.createDataFrame([("r", 1, "a", "one"), ("r", 2, "a", "two"), ("r", 3, "zz", "three"), ("r", 4, "a", "four"), ("r", 5, "b", None)], "run string, position int, clause_id string, answer string")
     assert {r.position: r.answer for r in scores.rebound(expected, given, "run").collect()} == {1: "one", 2: "two", 3: None, 4: "three"}
+
+
+def test_page_sources(spark, tmp_path):
+    long = "A text of a document that has a good many words in it. " * 12
+    rows = [("a", "dynamic", long + "x"), ("a", "crawl", "short"), ("a", "static", long), ("b", "crawl", None), ("c", "odd", long), ("c", "reader", long)]
+    got = {r.k: r.method for r in pages.best_source(spark.createDataFrame(rows, "k string, method string, text string"), "k").collect()}
+    assert got == {"a": "static", "c": "reader"}
+    t = row(spark, "m string, c string, r string", " ", "<p>One</p>", "<p>Two</p>").select(pages.page_text(F.col("m"), F.col("c"), F.col("r")).alias("x")).first().x
+    assert t == "One"
+    (tmp_path / "a.pdf").write_bytes(b"x" * 500 + b"%PDF-1.7")
+    (tmp_path / "b.pdf").write_bytes(b"x" * 2000 + b"%PDF-1.7")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-" + b"x" * 5000)
+    assert [r.path.rsplit("/", 1)[-1] for r in pages.pdf_files(spark, str(tmp_path), 4000).collect()] == ["a.pdf"]
+    body = F.lit(b"%PDF-1.4")
+    lines = "\n".join(f"line {k} of the document that was read out of its pages" for k in range(20))
+    found = row(spark, "x string, y string", "pdf viewer loading...", lines).select(pages.pdf_text(body, F.col("x"), F.col("y")).alias("p")).first().p
+    assert found.source == "second" and found.text.startswith("line 0") and row(spark, "x string", lines).select(pages.pdf_text(F.lit(b"no"), F.col("x"), F.col("x")).alias("p")).first().p.text == ""
+
+
+@pytest.mark.parametrize(("title", "category", "source", "expected"), [
+    ("Fees  and\nterms", "other", "", "Fees and terms"), ("Untitled", "payments", "", "Payment Obligations"), (None, "none", "We use cookies.", "Cookies and Tracking"), ("n/a", None, None, "Clause"), ("w " * 60, None, None, ("w " * 30)[:59].rstrip() + "…"),
+])
+def test_display_title(spark, title, category, source, expected):
+    df = row(spark, "t string, c string, s string", title, category, source)
+    assert df.select(summary.display_title(F.col("t"), F.col("c"), F.col("s")).alias("x")).first().x == expected
+
+
+def test_summary_takes_the_score_of_the_evidence(spark):
+    clauses = spark.createDataFrame([("a", 1, 90, "HIGH", "T", "R"), ("a", 2, 10, "low", None, None), ("b", 3, 50, "medium", "U", "S"), ("c", 4, None, None, None, None)], "g string, row_id bigint, risk_score int, risk_level string, title string, risk_reason string")
+    found = spark.createDataFrame([("a", "x", 30), ("a", "y", 20)], "g string, clause_id string, factor_score int")
+    got = {r.g: (r.overall_score, r.high, r.medium, r.low, r.findings) for r in summary.summarised(clauses, found, "g").collect()}
+    assert got == {"a": (25, 1, 0, 1, ["T: R"]), "b": (50, 0, 1, 0, []), "c": (0, 0, 0, 0, [])}
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "site string, id bigint, url string, content string")
+    assert documents.deduped(docs, "site", "id", "url", "content").count() == 0
+    assert extract.clauses(docs, "id", "content").count() == 0
+    keyed = documents.clause_keys(docs.withColumn("kind", F.lit("x")), "url", "kind", "content")
+    assert documents.uncontained(documents.exact_clauses(keyed, "id"), "id").count() == 0
+    assert factors.scored(spark.createDataFrame([], "source_text string")).count() == 0
