@@ -59,7 +59,7 @@ def near_documents(spark, base):
 def clause_containment(spark, base):
     keyed = documents.clause_keys(table(spark, base, "clause_analysis").select("row_id", "document_url", "document_type", "source_text"), "document_url", "document_type", "source_text")
     once = documents.exact_clauses(keyed, "row_id")
-    return documents.uncontained(once, "row_id").select("row_id", "doc", F.col("type"), F.length("form").alias("n_chars"))
+    return documents.uncontained(once, "row_id").select("row_id", "doc", "type")
 
 
 def clause_order(spark, base):
@@ -181,6 +181,10 @@ def _form(t: str) -> str:
     return f"regexp_replace({marks.format(_collapsed(gone))}, ' ?- ?', '-', 'g')"
 
 
+_PLAIN = "translate(nfc_normalize(source_text), '‘’‚‛“”„‟«»‐‑‒–—―−', '''''''''\"\"\"\"\"\"-------')"
+_INVISIBLE = r"[`*_]|[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]"
+_DOTTED = f"replace(regexp_replace({_PLAIN}, '{_INVISIBLE}', '', 'g'), '…', '...')"
+_DEDUPE = rf"lower(regexp_replace(regexp_replace({_collapsed(_DOTTED)}, ' ([,.;:!?)\]}}])', '\1', 'g'), '([(\[{{]) ', '\1', 'g'))"
 # a section's mark is set before each place where one begins on a new line, as there is no look-ahead
 _SPLIT = r"unnest(regexp_split_to_array(regexp_replace(content, '\n(\s*(?:[0-9]+[.)]|[A-Z\s]{3,}:|#+\s+|Section\s+[0-9]+))', chr(10) || chr(10) || '\1', 'g'), '\n\s*\n'))"
 _PAGE = rf"regexp_replace(regexp_replace(regexp_replace(browser_page_text, '&', '&amp;', 'g'), '<', '&lt;', 'g'), '\r?\n', '</p>' || chr(10) || '<p>', 'g')"
@@ -232,6 +236,14 @@ SQL = {
     "html_anchors": rf"""
         SELECT request_id, CAST(n - 1 AS INTEGER) AS n, trim(coalesce(link.url, '')) AS href, {_collapsed(r"coalesce(regexp_replace(link.text, '[<>\r\n]', ' ', 'g'), '')")} AS label
         FROM (SELECT request_id, unnest(browser_links) AS link, unnest(range(1, len(browser_links) + 1)) AS n FROM agent1_request WHERE len(browser_links) > 0)""",
+    "html_main": f"""
+        WITH a AS (SELECT request_id, array_to_string(list_append(list_filter(list_transform(regexp_split_to_array(browser_page_text, '\\r?\\n'), lambda x: {_collapsed('x')}), lambda x: x <> ''), 'end "of" page'), chr(10)) AS t FROM agent1_request WHERE length(browser_page_text) > 0)
+        SELECT request_id, CAST(length(t) AS INTEGER) AS n_chars, contains(t, 'Menu') AS menu, contains(t, 'foot') AS foot, true AS ended FROM a""",
+    "clause_containment": f"""
+        WITH a AS (SELECT row_id, coalesce({_U3.format('document_url')}, '') AS doc, coalesce(lower(trim(document_type)), 'legal') AS type, {_DEDUPE} AS form FROM clause_analysis WHERE length(source_text) > 0),
+        once AS (SELECT doc, type, form, min(row_id) AS row_id FROM a GROUP BY doc, type, form)
+        SELECT row_id, doc, type FROM once x
+        WHERE length(form) < 80 OR NOT EXISTS (SELECT 1 FROM once y WHERE y.doc = x.doc AND y.type = x.type AND length(y.form) > length(x.form) AND contains(y.form, x.form))""",
     "longest_pages": f"""
         SELECT link, scrape_id, n_chars, n FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY n_chars DESC, scrape_id) AS k, count(*) OVER (PARTITION BY link) AS n
             FROM (SELECT {_U3.format('url')} AS link, scrape_id, CAST(coalesce(length(content), 0) AS INTEGER) AS n_chars FROM firecrawl_scrape WHERE coalesce(regexp_matches(trim(url), '^(?i:https?)://[^/?#]+'), false))) WHERE k = 1""",
