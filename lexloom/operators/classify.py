@@ -148,5 +148,13 @@ def level(score: Column) -> Column:
 
 def rule_titles(low: Column, lexicon: Lexicon = POLICY) -> Column:
     """Titles of the clause rules of which any pattern occurs in a text (collapsed, in lower case), in the rules' order."""
-    hits = [F.when(low.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(title)) for title, _, patterns in lexicon.rules]
+    hits = [F.when(possible(low, title, lexicon) & low.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(title)) for title, _, patterns in lexicon.rules]
     return F.array_compact(F.array(*hits))
+
+
+def possible(low: Column, title: str, lexicon: Lexicon = POLICY) -> Column:
+    """Whether a text has any of a rule's cues, which are far cheaper to look for than its patterns."""
+    found = F.lit(False)
+    for cue in lexicon.cues.get(title, ("",)):
+        found = found | F.contains(low, F.lit(cue))
+    return found

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from lexloom.functions import text as t
 from lexloom.functions import urls
-from lexloom.operators import filters
+from lexloom.operators import classify, filters
 from lexloom.operators.lexicon import POLICY, Lexicon
 
 LEAST_TEXT, LEAST_EXCERPT, LONGEST_EXCERPT, MOST_CLAUSES = 220, 40, 1200, 20
@@ -34,7 +34,7 @@ def matches(df: DataFrame, keys: list[str], text: str, lexicon: Lexicon = POLICY
     rules = []
     for k, (title, category, patterns) in enumerate(lexicon.rules):
         hit = F.coalesce(*(F.when(low.rlike(p), F.lit(p)) for p in patterns))
-        rules.append(F.when(hit.isNotNull(), F.struct(F.lit(k).alias("rule_no"), F.lit(title).alias("title"), F.lit(category).alias("category"), hit.alias("pattern"))))
+        rules.append(F.when(classify.possible(low, title, lexicon) & hit.isNotNull(), F.struct(F.lit(k).alias("rule_no"), F.lit(title).alias("title"), F.lit(category).alias("category"), hit.alias("pattern"))))
     base = df.withColumn("_low", F.explode(F.array(F.lower(text))))
     each = base.select(*keys, text, "_low", F.explode(F.array_compact(F.array(*rules))).alias("m"))
     found = each.select(*keys, text, "_low", "m.*").withColumn("hit", F.regexp_substr("_low", F.col("pattern")))

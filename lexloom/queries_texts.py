@@ -24,7 +24,7 @@ def html_text(spark, base):
 
 def html_main(spark, base):
     t = html.html_main_text(F.col("html"))
-    return _pages_as_html(spark, base).select("request_id", F.length(t).alias("n_chars"), F.contains(t, F.lit("Menu")).alias("menu"), F.contains(t, F.lit("foot")).alias("foot"), t.endswith('end "of" page') .alias("ended"))
+    return _pages_as_html(spark, base).select("request_id", F.length(t).alias("n_chars"), F.contains(t, F.lit("Menu")).alias("menu"), F.contains(t, F.lit("foot")).alias("foot"), (F.right(t, F.lit(13)) == 'end "of" page').alias("ended"))
 
 
 def html_anchors(spark, base):
