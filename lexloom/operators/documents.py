@@ -1,17 +1,23 @@
 """Documents and clauses that say the same: exact copies, near copies, excerpts inside longer ones."""
 
 import difflib
+import functools
+import math
+import os
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions import text as t
 from lexloom.functions import urls
-from lexloom.operators.cluster import durable
+from lexloom.operators.cluster import arrow_map, durable
 from lexloom.operators.graph import components
 from lexloom.operators.pairs import first_of, meet
 
@@ -25,20 +31,111 @@ LEAST_CONTAINED, GRAM = 80, 6
 _TOKEN = re.compile(r"[a-z0-9]+|\s|[^\sa-z0-9]")
 
 
+#: Products of lengths up to which two ranges are matched by ``difflib``.
+DIRECT = 20_000
+
+
+def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """i, j, n of the longest block of ``a`` that stands in ``b`` too, the first in ``a`` and then in ``b`` of equal ones.
+
+    ``a``, ``b``: 64-bit hashes. A block has its beginnings, so its length is found by halving, with a hash of each window."""
+
+    def windows(sums: np.ndarray, n: int) -> np.ndarray:
+        return sums[n:] - sums[:-n] * powers[n]
+
+    powers = np.full(min(len(a), len(b)) + 1, _BASE)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    sums = [_rolled(a), _rolled(b)]
+    low, high, at = 0, len(powers) - 1, None
+    while low < high:
+        n = (low + high + 1) // 2
+        x, y = (windows(s, n) for s in sums)
+        shared = np.isin(x, y, kind="sort")
+        i = int(shared.argmax())
+        if shared[i]:
+            low, at = n, (i, int((y == x[i]).argmax()), n)
+        else:
+            high = n - 1
+    return at or (0, 0, 0)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _rolled(x: np.ndarray) -> np.ndarray:
+    """sums[k + 1] = sums[k] * _BASE + x[k], modulo 2 ** 64, in steps that double."""
+    out, factor, step = x.copy(), int(_BASE), 1
+    while step < len(out):
+        out[step:] = out[step:] + out[:-step] * np.uint64(factor)
+        factor, step = factor * factor % 2**64, 2 * step
+    return np.concatenate([np.zeros(1, np.uint64), out])
+
+
+def matching_blocks(p: list[str] | str, q: list[str] | str) -> list[tuple[int, int, int]]:
+    """``difflib.SequenceMatcher(None, p, q, autojunk=False).get_matching_blocks()``, adjacent blocks left apart, in time that does not
+    grow with the product of the lengths."""
+    if len(p) * len(q) <= DIRECT:
+        return difflib.SequenceMatcher(None, p, q, autojunk=False).get_matching_blocks()[:-1]
+    a, b = (np.fromiter((xxhash.xxh3_64_intdigest(x) for x in s), np.uint64, len(s)) for s in (p, q))
+    out, open_ = [], [(0, len(p), 0, len(q))]
+    while open_:
+        i, j, k, z = open_.pop()
+        if (j - i) * (z - k) <= DIRECT:
+            out += [(i + x, k + y, n) for x, y, n in difflib.SequenceMatcher(None, p[i:j], q[k:z], autojunk=False).get_matching_blocks()[:-1]]
+            continue
+        x, y, n = _longest(a[i:j], b[k:z])
+        if n:
+            out.append((i + x, k + y, n))
+            if x and y:
+                open_.append((i, i + x, k, k + y))
+            if i + x + n < j and k + y + n < z:
+                open_.append((i + x + n, j, k + y + n, z))
+    return sorted(out)
+
+
 def matching_ratio(a: str, b: str) -> float:
     """Twice the characters of matching blocks by all characters, as a sequence matcher counts them: blocks of tokens first, then
     characters within what is left between them, which keeps a comparison of long texts from growing with their square."""
     p, q = _TOKEN.findall(a), _TOKEN.findall(b)
-    same = 0
-    for tag, i, j, k, z in difflib.SequenceMatcher(None, p, q, autojunk=False).get_opcodes():
-        if tag == "equal":
-            same += sum(map(len, p[i:j]))
-        elif tag == "replace":
+    same = i = k = 0
+    for j, z, n in [*matching_blocks(p, q), (len(p), len(q), 0)]:
+        if i < j and k < z:
             x, y = "".join(p[i:j]), "".join(q[k:z])
-            same += sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()) if max(len(x), len(y)) < SHORT else 0
+            same += sum(m for _, _, m in matching_blocks(x, y)) if max(len(x), len(y)) < SHORT else 0
+        same += sum(map(len, p[j : j + n]))
+        i, k = j + n, z + n
     return 2 * same / max(1, len(a) + len(b))
 
 
+def subsequence(a: str, b: str, least: float = 0) -> int:
+    """The length of the longest common subsequence of characters, by bits of one number for all of ``a``; or, once it is sure to be under ``least``, -1."""
+    head = len(os.path.commonprefix((a, b)))
+    a, b = a[head:], b[head:]
+    tail = len(os.path.commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    places = _places(a)
+    full = (1 << len(a)) - 1
+    left = full
+    need = math.ceil(least - 1e-6) - head - tail
+    for t, c in enumerate(b):
+        # what reaches ``need`` has matched the first t characters within the first t + len(a) - need of ``a``
+        if t % 256 == 255 and need > 0:
+            reach = min(len(a), max(0, t + len(a) - need))
+            if reach - (left & ((1 << reach) - 1)).bit_count() + len(b) - t < need:
+                return -1
+        if at := places.get(c):
+            hit = left & at
+            left = (left + hit | left - hit) & full
+    return head + tail + len(a) - left.bit_count()
+
+
+def _places(a: str) -> dict[str, int]:
+    """For each character of ``a`` a number with a bit at each of its places."""
+    points = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return {chr(c): int.from_bytes(np.packbits(points == c, bitorder="little").tobytes(), "little") for c in np.unique(points)}
+
+
 def similar(a: str, b: str) -> bool:
     """Whether two normal forms (``undated``) are of one document: equal if the shorter has under SHORT characters, else of about
     one length and of a matching ratio of ALIKE; of longer ones than WINDOW both ends are compared."""
@@ -51,10 +148,13 @@ def similar(a: str, b: str) -> bool:
         return False
     half = WINDOW // 2
     a, b = (x if len(x) <= WINDOW else f"{x[:half]} {x[-half:]}" for x in (a, b))
-    # characters in common, in any order, bound the ratio from above, and so do words
     common = sum((Counter(a.split()) & Counter(b.split())).values())
     if common < LEAST_COMMON * max(a.count(" "), b.count(" ")):
         return False
+    # matching blocks are a common subsequence, so the longest one bounds the ratio from above; characters in any order bound that
+    least = ALIKE * (len(a) + len(b)) / 2
+    if sum((Counter(a) & Counter(b)).values()) < least - 1e-6 or subsequence(a, b, least) < least - 1e-6:
+        return False
     return matching_ratio(a, b) >= ALIKE
 
 
@@ -63,19 +163,52 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def _grams(words: Column) -> Column:
-    """Hashes of the sequences of SHINGLE of ``words`` (a column: an expression would be split again for each); fewer words are one sequence."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(SHINGLE))))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A finaliser: every bit of x reaches every bit of the result."""
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(32))) * _BASE
+    return x ^ (x >> np.uint64(31))
+
+
+#: A factor (odd) and a summand for each of the minima: hashes of hashes, modulo 2 ** 64.
+_FACTORS, _ADDED = _mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).reshape(2, -1, 1)
+_FACTORS = _FACTORS | np.uint64(1)
+PIECE = 1024  #: sequences that are re-keyed at once
+_hash = functools.lru_cache(300_000)(xxhash.xxh3_64_intdigest)
+
+
+def _keyed(grams: np.ndarray) -> np.ndarray:
+    x = grams * _FACTORS + _ADDED
+    return (x ^ (x >> np.uint64(32))) * _BASE
+
+
+def bands(form: str) -> np.ndarray:
+    """BANDS keys out of the least of the hashes of a form's sequences of SHINGLE words, each re-keyed for each of the minima; fewer words are one sequence."""
+    words = form.split(" ")
+    h = np.fromiter(map(_hash, words), np.uint64, len(words))
+    size = min(SHINGLE, len(h))
+    grams = np.zeros(len(h) - size + 1, np.uint64)
+    for k in range(size):
+        grams = _mixed(grams * _BASE + h[k : len(h) - size + 1 + k])
+    grams = np.unique(grams)
+    least = np.min([_keyed(grams[at : at + PIECE]).min(axis=1) for at in range(0, len(grams), PIECE)], axis=0).reshape(BANDS, ROWS)
+    keys = np.zeros(BANDS, np.uint64)
+    for k in range(ROWS):
+        keys = _mixed(keys * _BASE + least[:, k])
+    return keys
 
 
-def _bands(grams: Column) -> Column:
-    """BANDS keys out of the least of the hashes, each re-keyed for each of the minima."""
+def _banded(df: DataFrame, key: str, scope: str) -> DataFrame:
+    """``key``, size (of the form), bands of each row of ``df`` (key, scope, form)."""
 
-    def keyed(k: int) -> Column:
-        return F.array_min(F.transform(grams, lambda g: F.xxhash64(g, F.lit(k))))
+    def run(batches):
+        for b in batches:
+            forms = b.column(1).to_pylist()
+            keys = np.concatenate([np.zeros(0, np.uint64), *(bands(x) for x in forms)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in forms], pa.int32()), b.column(2), pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))], [key, "size", scope, "bands"])
 
-    least = [keyed(k) for k in range(BANDS * ROWS)]
-    return F.array(*(F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
+    kinds = dict(df.dtypes)
+    return arrow_map(df.select(key, "form", scope), run, f"`{key}` {kinds[key]}, size int, `{scope}` {kinds[scope]}, bands array<bigint>")
 
 
 def near_pairs(df: DataFrame, scope: str, key: str, form: str) -> DataFrame:
@@ -83,11 +216,9 @@ def near_pairs(df: DataFrame, scope: str, key: str, form: str) -> DataFrame:
 
     Candidates share one of BANDS keys of least hashes and are of about one length; a pair is verified once. Two texts of a
     share of common sequences of 0.6 meet with a probability over 0.99; equal forms always meet. Null forms match nothing."""
-    base = durable(df.where(F.length(form) > 0).select(scope, key, F.col(form).alias("form"), F.length(form).alias("size")))
-    words = base.select(key, "size", scope, F.explode(F.array(F.split("form", " "))).alias("words"))  # once a row
-    grams = words.select(key, "size", scope, F.explode(F.array(_grams(F.col("words")))).alias("grams"))
-    keyed = grams.select(key, "size", scope, F.explode(_bands(F.col("grams"))).alias("band"))
-    rows = keyed.select(key, "size", F.xxhash64(scope, "band").alias("bucket"))
+    base = df.where(F.length(form) > 0).select(scope, key, F.col(form).alias("form"))
+    banded = _banded(base, key, scope).select(key, "size", scope, F.posexplode("bands").alias("place", "band"))
+    rows = durable(banded.select(key, "size", F.xxhash64(scope, "place", "band").alias("bucket")))
     close = (F.least("size_x", "size_y") >= RATIO * F.greatest("size_x", "size_y")) & ((F.least("size_x", "size_y") >= SHORT) | (F.col("size_x") == F.col("size_y")))
     wanted = durable(meet(rows, "bucket", key, ["size"]).where(close).select(f"{key}_x", f"{key}_y").distinct())
     texts = base.select(key, scope, "form")

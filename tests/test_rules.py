@@ -1,4 +1,6 @@
+import difflib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +174,30 @@ def test_near_documents_against_all_pairs(spark):
     assert got == expected and len(expected) >= 24
 
 
+def test_matching_blocks_are_those_of_a_sequence_matcher():
+    r = random.Random(8)
+    for n in (5, 200, 700):
+        for letters in ("ab", "abcdefgh "):
+            a = [r.choice(letters) for _ in range(n)]
+            b = list(a)
+            for _ in range(8):
+                k = r.randrange(n)
+                b[k : k + r.randrange(4)] = [r.choice(letters) for _ in range(r.randrange(4))]
+            a, b = "".join(a), "".join(b)
+            same = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+            assert {(i + k, j + k) for i, j, m in documents.matching_blocks(a, b) for k in range(m)} == {(i + k, j + k) for i, j, m in same for k in range(m)}
+            assert sum(m for _, _, m in same) <= documents.subsequence(a, b) == documents.subsequence(b, a) <= n + 32
+
+
+def test_long_documents_are_compared_in_time():
+    r = random.Random(9)
+    a = " ".join(r.choice(("data", "user", "we", "may", "shop", "keep")) + str(r.randrange(300)) for _ in range(2_800))
+    b = a.replace(" data1", " item1")
+    began = time.process_time()
+    assert documents.similar(a, b) and not documents.similar(a, a[: len(a) // 2] + a[: len(a) // 2][::-1])
+    assert time.process_time() - began < 2
+
+
 def test_documents_deduped(spark):
     long = "Terms of the shop. " + " ".join(f"clause {k} holds for part {k * 7} of the goods." for k in range(60))
     rows = [
