@@ -8,12 +8,14 @@ two of eight blocks of bits meet in one of 28 partitioned tables. Pairs within H
 the similarity of their shingles (0.8). What SimHash and its tables miss among bodies with evidence is found by an exact
 prefix filter over the shingles, for all classes that are not connected by then. Labels then spread through the connected
 components of the verified pairs to members with evidence of the same kind, and from errors, notices and fillers to bodies
-without any cue that are verified to be alike.
+without any cue that are verified to be alike, and on from those: these pairs, too, come from the tables and from an exact
+prefix filter, in the order of the shingles' hashes, for the tables miss most pairs near the threshold.
 
 Cases: null and empty texts are none; a page of nothing but menus is none; every delivery of a page is a row of its own.
 """
 
 import itertools
+import math
 import re
 
 import numpy as np
@@ -170,12 +172,12 @@ def features(body: str) -> np.ndarray:
 
 
 def judged(df: DataFrame) -> DataFrame:
-    """tbl, row_id, label, weak, class_id, simhash, body (where there is evidence) of the rows of ``df`` (tbl, row_id, text) with a main body."""
-    names = ["tbl", "row_id", "label", "weak", "class_id", "simhash", "body"]
+    """tbl, row_id, label, weak, class_id, simhash, size and prefix (of the features), body (where there is evidence) of the rows of ``df`` (tbl, row_id, text) with a main body."""
+    names = ["tbl", "row_id", "label", "weak", "class_id", "simhash", "size", "prefix", "body"]
 
     def run(batches):
         for b in batches:
-            keep, label, weak, ids, hashes, texts = [], [], [], [], [], []
+            keep, label, weak, ids, hashes, texts, sizes, first = [], [], [], [], [], [], [], []
             for n, text in enumerate(b.column(2).to_pylist()):
                 body = main_text(text or "")
                 f = features(body)
@@ -187,10 +189,19 @@ def judged(df: DataFrame) -> DataFrame:
                     texts.append(body if w else None)
                     ids.append(class_of(f))
                     hashes.append(simhash(f) - 2**63)
+                    sizes.append(len(f))
+                    first.append(f[: prefix_size(len(f))])
+            ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)))
             rows = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(label, pa.string()), pa.array(weak, pa.string()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(texts, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(label, pa.string()), pa.array(weak, pa.string()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), prefix, pa.array(texts, pa.string())], names)
 
-    return arrow_map(df.select("tbl", "row_id", "text"), run, "tbl string, row_id bigint, label string, weak string, class_id bigint, simhash bigint, body string")
+    return arrow_map(df.select("tbl", "row_id", "text"), run, "tbl string, row_id bigint, label string, weak string, class_id bigint, simhash bigint, size int, prefix array<bigint>, body string")
+
+
+def prefix_size(size: int) -> int:
+    """How many of ``size`` features, the first in an order that all sets share, hold one of any set of similarity ALIKE."""
+    return size - math.ceil(ALIKE * size - 1e-9) + 1
 
 
 def class_of(f: np.ndarray) -> int:
@@ -286,21 +297,44 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return arrow_map(both.select("a", "b", "ta", "tb"), run, "a bigint, b bigint")
 
 
-def reached(rows: DataFrame, df: DataFrame) -> DataFrame:
-    """a (a class with evidence), b (a class without): verified near-duplicates among ``rows`` (``judged`` of ``df``).
-
-    What holds no cue of its own meets, in the tables, the classes of errors, notices and fillers; blanks are left out, as
-    the policy with its blanks filled in is a near-duplicate of the form. Texts are read again for what passes the Hamming
-    test alone."""
-    plain = rows.where("weak = ''")
-    known = rows.where(F.col("weak").isin(ERRORS, NOTICES, FILLERS)).groupBy("class_id").agg(F.first("simhash").alias("simhash"))
-    x = known.select(F.col("class_id").alias("a"), F.col("simhash").alias("ha"), F.explode(table_keys()).alias("key"))
-    y = plain.groupBy("class_id").agg(F.first("simhash").alias("simhash")).select(F.col("class_id").alias("b"), F.col("simhash").alias("hb"), F.explode(table_keys()).alias("key"))
-    met = durable(y.join(x, "key").where(F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= NEAR).select("a", "b").distinct())
-    one = plain.join(met.select(F.col("b").alias("class_id")).distinct(), "class_id", "left_semi").groupBy("class_id").agg(F.min(F.struct("tbl", "row_id")).alias("k")).select("class_id", "k.tbl", "k.row_id")
-    bodies = _bodies(df.join(one, ["tbl", "row_id"]).select("class_id", "text"))
-    texts = rows.where("weak != ''").groupBy("class_id").agg(F.first("body").alias("body")).unionByName(bodies)
-    return verified(met, durable(texts))
+def candidates(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """a (of ``known``: class_id, label, simhash, size, prefix), b, weak (of ``rows``): all pairs that can have the similarity ALIKE and whose label may spread.
+
+    SimHash's tables give most with little work, the prefixes of features all."""
+    sides = []
+    for key in (table_keys(), F.col("prefix")):
+        x = known.select(F.col("class_id").alias("a"), "label", F.col("simhash").alias("ha"), F.col("size").alias("size_a"), F.explode(key).alias("key"))
+        y = rows.select(F.col("class_id").alias("b"), "weak", F.col("simhash").alias("hb"), "size", F.explode(key).alias("key"))
+        sides.append(y.join(x, "key").where("weak = '' or weak = label").where(F.least("size", "size_a") >= ALIKE * F.greatest("size", "size_a") - 1e-9))
+    tables = sides[0].where(F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= NEAR)
+    return tables.select("a", "b", "weak").unionByName(sides[1].select("a", "b", "weak")).distinct()
+
+
+def reached(rows: DataFrame, df: DataFrame, labelled: DataFrame) -> DataFrame | None:
+    """class_id, weak, label of the classes among ``rows`` (``judged`` of ``df``) that are alike ``labelled`` (class_id, label) ones, or alike those, and so on.
+
+    What holds no cue of its own, and what has evidence of the label's kind but is not among ``labelled``, meets the classes of
+    errors, notices and fillers; blanks are left out, as the policy with its blanks filled in is a near-duplicate of the form.
+    Texts are read again for what meets alone. Each round starts from what the last one reached; most data needs one."""
+    firsts = [F.first(x).alias(x) for x in ("simhash", "size", "prefix", "body")]
+    rows = rows.drop("label")
+    known = durable(rows.where(F.col("weak").isin(ERRORS, NOTICES, FILLERS)).join(labelled, "class_id").groupBy("class_id", "label").agg(*firsts))
+    left = rows.where(F.col("weak").isin("", ERRORS, NOTICES, FILLERS)).join(labelled.select("class_id", F.col("label").alias("weak")), ["class_id", "weak"], "left_anti")
+    out = None
+    while True:
+        met = durable(candidates(known, left))
+        one = left.join(met.select(F.col("b").alias("class_id"), "weak").distinct(), ["class_id", "weak"], "left_semi").groupBy("class_id").agg(F.min(F.struct("tbl", "row_id")).alias("k")).select("class_id", "k.tbl", "k.row_id")
+        bodies = durable(_bodies(df.join(one, ["tbl", "row_id"]).select("class_id", "text")))
+        texts = known.select("class_id", "body").dropDuplicates(["class_id"])
+        pairs = verified(met.select("a", "b").distinct(), bodies.unionByName(texts.join(bodies, "class_id", "left_anti")))
+        named = pairs.join(met, ["a", "b"]).join(known.select(F.col("class_id").alias("a"), "label"), "a").where("weak = '' or weak = label")
+        new = durable(named.groupBy(F.col("b").alias("class_id"), "weak").agg(F.min("label").alias("label")))
+        if new.isEmpty():
+            return out
+        out = new if out is None else out.unionByName(new)
+        held = left.join(new, ["class_id", "weak"]).groupBy("class_id", "label").agg(*firsts[:3])
+        known = durable(held.join(bodies, "class_id"))
+        left = left.join(new.select("class_id", "weak"), ["class_id", "weak"], "left_anti")
 
 
 def _bodies(df: DataFrame) -> DataFrame:
@@ -323,8 +357,6 @@ def residue(df: DataFrame) -> DataFrame:
     labels = durable(known.where("label != ''").select("component", F.col("label").alias("weak")).distinct())
     both = known.join(labels.withColumn("spread", F.lit(True)), ["component", "weak"], "left").where("label != '' or spread")
     found = both.select("tbl", "row_id", F.when(F.col("label") != "", F.col("label")).otherwise(F.col("weak")).alias("label"), F.when(F.col("label") != "", "trusted").otherwise("spread").alias("how"))
-    # bodies without evidence of their own, by the component of what they are alike to
-    near = reached(rows, df).join(member.toDF("a", "component"), "a", "left").withColumn("component", F.coalesce("component", "a")).join(labels, "component")
-    named = near.where(F.col("weak").isin(ERRORS, NOTICES, FILLERS)).groupBy(F.col("b").alias("class_id")).agg(F.min("weak").alias("label"))
-    quiet = rows.where("weak = ''").select("class_id", "tbl", "row_id").join(named, "class_id").select("tbl", "row_id", "label", F.lit("spread").alias("how"))
-    return found.unionByName(quiet)
+    labelled = durable(both.where(F.col("weak").isin(ERRORS, NOTICES, FILLERS)).select("class_id", "component").distinct().join(labels.where(F.col("weak").isin(ERRORS, NOTICES, FILLERS)).withColumnRenamed("weak", "label"), "component").select("class_id", "label").distinct())
+    near = reached(rows, df, labelled)
+    return found if near is None else found.unionByName(rows.join(near.withColumnRenamed("label", "spread"), ["class_id", "weak"]).where("label = ''").select("tbl", "row_id", F.col("spread").alias("label"), F.lit("spread").alias("how")))

@@ -89,6 +89,23 @@ def test_what_has_no_cue_is_named_by_what_it_is_like(spark):
     assert got == {1: ("filler", "trusted"), 2: ("filler", "spread")}
 
 
+def test_what_has_no_cue_is_named_at_the_threshold_and_over_others(spark):
+    r = random.Random(12)
+    words = ["".join(r.choice("bcdfg") + r.choice("aeiou") for _ in range(4)) for _ in range(300)]
+    known = " ".join([*words[:150], "dummy text", *words[150:]])
+    changed = [*words[:150], "dumy", "text", *words[150:]]
+    near, far = ([x + "q" if k % 60 in at else x for k, x in enumerate(changed)] for at in ((10,), (10, 35)))
+    near, far, off = (" ".join(x) for x in (near, far, [x + "q" if k % 30 == 5 else x for k, x in enumerate(changed)]))
+    sets = [set(residue.features(x).tolist()) for x in (known, near, far, off)]
+    alike = [[len(a & b) / len(a | b) for b in sets] for a in sets]
+    assert 0.8 <= alike[0][1] < 0.86 and 0.8 <= alike[1][2] < 0.86 and max(alike[0][2], *alike[3][:3]) < 0.8
+    hashes = [residue.simhash(residue.features(x)) for x in (known, near, far)]
+    assert (hashes[0] ^ hashes[1]).bit_count() > residue.NEAR and (hashes[1] ^ hashes[2]).bit_count() > residue.NEAR
+    rows = [("t", k, x) for k, x in enumerate((known, near, far, off), 1)]
+    got = {x.row_id: (x.label, x.how) for x in residue.residue(spark.createDataFrame(rows, "tbl string, row_id bigint, text string")).collect()}
+    assert got == {1: ("filler", "trusted"), 2: ("filler", "spread"), 3: ("filler", "spread")}
+
+
 @pytest.mark.parametrize("blank", ["<%= company_name %>", "#effective date#", "«RETENTION PERIOD»", "«brandName»", "{{x}}", "*|NAME|*", "@@a b@@", "[insert date]"])
 def test_blanks(blank):
     body = f"These terms bind {blank} and all who use the shop. We keep what {blank} tells us for a year, and no longer."
