@@ -2,13 +2,12 @@
 
 All characters of a batch become one array of code points; a table gives each its class, and sums over lines and tokens
 give the statistics. RULES are published fixed thresholds over them (number of words, mean word length, symbols by words,
-bullets, ellipses and closing punctuation by lines, words with letters, common words, broken characters). They decide
-first: a text that breaks none is prose and is looked at no further. Each that a text breaks is recorded. The rules are
-made for long web pages in English, so that very short prose and prose without spaces break some as well; what a text that
-breaks one is, the mass of its lines by kind decides, and is recorded in the same way.
+bullets, ellipses and closing punctuation by lines, words with letters, common words, broken characters). Each that a text
+breaks is recorded. The rules are made for long web pages in English, so that very short prose and prose without spaces break
+some, and a long list with closing marks breaks none: what a text is, the mass of its lines by kind decides, and is recorded
+in the same way. The lines of every text are judged.
 
-Cases: a null or empty text is no case and has zeros; texts of any length are treated whole; of a text that breaks no rule
-the shares of lines by kind are those of prose.
+Cases: a null or empty text is no case and has zeros; texts of any length are treated whole.
 """
 
 import functools
@@ -206,9 +205,6 @@ def _judge(text: str, lines: list[str], n: np.ndarray, tokens: int, lettered: in
         "ellipsis_line_share": sum(x.rstrip().endswith(("...", "…")) for x in lines) / counted, "letter_word_share": lettered / max(1, tokens), "marked_line_share": marked, "broken_share": text.count("\ufffd") / seen,
     }
     reasons = broken(measured)
-    if not reasons:  # no published rule is broken: prose, whatever its lines look like
-        measured |= {"bullet_line_share": marked, "table_line_share": 0.0, "junk_share": 0.0, "prose_share": 1.0}
-        return tuple(measured[x] for x in NAMES), PROSE, ""
     mass = {PROSE: 0, LIST: 0, TABLE: 0, JUNK: 0, HEAD: 0}
     run = _plain_run(lines, [line_kind(x, c, common) for x, c in zip(lines, n, strict=True)])
     for x, kind in zip(lines, run, strict=True):

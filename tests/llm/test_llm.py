@@ -174,6 +174,17 @@ def test_quality(text, kind):
     assert quality.statistics(text, frozenset({"the", "for", "a"}))[1] == kind
 
 
+def test_lines_are_judged_where_no_rule_is_broken():
+    common = frozenset({"the", "for", "a", "of"})
+    rows = "".join(f"- the cost of the goods in the group {'abcdefghijklmnopq'[k]}.\n" for k in range(17))
+    values, kind, reasons = quality.statistics(rows + "All of it holds for the year.\n" * 3, common)
+    assert (kind, reasons) == ("list", "list_lines") and dict(zip(quality.NAMES, values, strict=True))["prose_share"] < 0.2
+    prose = "We keep the data of a buyer for as long as the law asks for it, and no longer than that.\n" * 9
+    values, kind, reasons = quality.statistics(prose + "\n".join(f"- the item {k}." for k in range(3)), common)
+    named = dict(zip(quality.NAMES, values, strict=True))
+    assert (kind, reasons, named["bullet_line_share"]) == ("prose", "", 3 / 12) and named["prose_share"] < 1
+
+
 @pytest.mark.parametrize(("text", "reasons"), [
     ("We keep the records of the visit for a year and delete them then. " * 5, set()), ("We keep the records for a year.", {"few_words"}), ("the a " + "word " * 100_001 + "\nEnd.", {"many_words"}),
     ("the a " + "internationalisation " * 60 + ".", {"long_words"}), ("a b the c. " * 20, {"short_words"}), ("the #word for #words. " * 20, {"symbols"}), ("- the word for words here\n" * 20, {"bullet_lines", "few_closing_marks", "list_lines"}),
