@@ -9,7 +9,8 @@ the similarity of their shingles (0.8). What SimHash and its tables miss among b
 prefix filter over the shingles, for all classes that are not connected by then. Labels then spread through the connected
 components of the verified pairs to members with evidence of the same kind, and from errors, notices and fillers to bodies
 without any cue that are verified to be alike, and on from those: these pairs, too, come from the tables and from an exact
-prefix filter, in the order of the shingles' hashes, for the tables miss most pairs near the threshold.
+prefix filter, in the order of the shingles' hashes, for the tables miss most pairs near the threshold. Of the many bodies
+without cues only the keys, and the texts, that can meet what is labelled are shuffled.
 
 Cases: null and empty texts are none; a page of nothing but menus is none; every delivery of a page is a row of its own.
 """
@@ -27,6 +28,7 @@ from lexloom.llm.mainbody import main_text
 from lexloom.llm.words import Cues, mixed, shingles, token_hashes
 from lexloom.operators.cluster import arrow_map, durable
 from lexloom.operators.graph import components
+from lexloom.operators.sieve import exploded, passing, sieve
 
 #: What servers and scripts say instead of a page, by sort; whole sentences or lines, lower-cased.
 ERROR = r"""
@@ -191,14 +193,17 @@ def judged(df: DataFrame) -> DataFrame:
                     hashes.append(simhash(f) - 2**63)
                     sizes.append(len(f))
                     first.append(f[: prefix_size(len(f))])
-            ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)))
             rows = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(label, pa.string()), pa.array(weak, pa.string()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), prefix, pa.array(texts, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(label, pa.string()), pa.array(weak, pa.string()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), _lists(first), pa.array(texts, pa.string())], names)
 
     return arrow_map(df.select("tbl", "row_id", "text"), run, "tbl string, row_id bigint, label string, weak string, class_id bigint, simhash bigint, size int, prefix array<bigint>, body string")
 
 
+def _lists(hashes: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, hashes)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64)))
+
+
 def prefix_size(size: int) -> int:
     """How many of ``size`` features, the first in an order that all sets share, hold one of any set of similarity ALIKE."""
     return size - math.ceil(ALIKE * size - 1e-9) + 1
@@ -297,17 +302,23 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return arrow_map(both.select("a", "b", "ta", "tb"), run, "a bigint, b bigint")
 
 
-def candidates(known: DataFrame, rows: DataFrame) -> DataFrame:
-    """a (of ``known``: class_id, label, simhash, size, prefix), b, weak (of ``rows``): all pairs that can have the similarity ALIKE and whose label may spread.
+def candidates(known: DataFrame, rows: DataFrame, done: DataFrame) -> DataFrame:
+    """a (of ``known``: class_id, label, simhash, size, prefix), b, weak (of ``rows``, without those in ``done``: class_id, weak): all pairs that can have the similarity ALIKE and whose label may spread; a table.
 
-    SimHash's tables give most with little work, the prefixes of features all."""
-    sides = []
+    SimHash's tables give most with little work, the prefixes of features all. Of the keys of ``rows`` only those
+    that ``known`` has are shuffled, told by a table of bits, which may let others pass but keeps back none."""
+    sides, sent = [], []
     for key in (table_keys(), F.col("prefix")):
         x = known.select(F.col("class_id").alias("a"), "label", F.col("simhash").alias("ha"), F.col("size").alias("size_a"), F.explode(key).alias("key"))
-        y = rows.select(F.col("class_id").alias("b"), "weak", F.col("simhash").alias("hb"), "size", F.explode(key).alias("key"))
-        sides.append(y.join(x, "key").where("weak = '' or weak = label").where(F.least("size", "size_a") >= ALIKE * F.greatest("size", "size_a") - 1e-9))
+        sent.append(rows.sparkSession.sparkContext.broadcast(sieve(x.select("key"))))
+        y = exploded(rows.select("class_id", "weak", F.col("simhash").alias("hb"), "size", key.alias("key")), sent[-1]).distinct()
+        new = y.join(done, ["class_id", "weak"], "left_anti").withColumnRenamed("class_id", "b")
+        sides.append(new.join(x, "key").where("weak = '' or weak = label").where(F.least("size", "size_a") >= ALIKE * F.greatest("size", "size_a") - 1e-9))
     tables = sides[0].where(F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= NEAR)
-    return tables.select("a", "b", "weak").unionByName(sides[1].select("a", "b", "weak")).distinct()
+    met = durable(tables.select("a", "b", "weak").unionByName(sides[1].select("a", "b", "weak")).distinct())
+    for x in sent:
+        x.destroy()
+    return met
 
 
 def reached(rows: DataFrame, df: DataFrame, labelled: DataFrame) -> DataFrame | None:
@@ -319,32 +330,42 @@ def reached(rows: DataFrame, df: DataFrame, labelled: DataFrame) -> DataFrame |
     firsts = [F.first(x).alias(x) for x in ("simhash", "size", "prefix", "body")]
     rows = rows.drop("label")
     known = durable(rows.where(F.col("weak").isin(ERRORS, NOTICES, FILLERS)).join(labelled, "class_id").groupBy("class_id", "label").agg(*firsts))
-    left = rows.where(F.col("weak").isin("", ERRORS, NOTICES, FILLERS)).join(labelled.select("class_id", F.col("label").alias("weak")), ["class_id", "weak"], "left_anti")
+    left = rows.where(F.col("weak").isin("", ERRORS, NOTICES, FILLERS))
+    done = labelled.select("class_id", F.col("label").alias("weak"))
     out = None
     while True:
-        met = durable(candidates(known, left))
-        one = left.join(met.select(F.col("b").alias("class_id"), "weak").distinct(), ["class_id", "weak"], "left_semi").groupBy("class_id").agg(F.min(F.struct("tbl", "row_id")).alias("k")).select("class_id", "k.tbl", "k.row_id")
-        bodies = durable(_bodies(df.join(one, ["tbl", "row_id"]).select("class_id", "text")))
+        met = candidates(known, left, done)
+        if met.isEmpty():
+            return out
+        one = durable(left.join(met.select(F.col("b").alias("class_id"), "weak").distinct(), ["class_id", "weak"], "left_semi").groupBy("class_id").agg(F.min(F.struct("tbl", "row_id")).alias("k")).select("class_id", "k.tbl", "k.row_id"))
+        bodies = _bodies(df, one)
         texts = known.select("class_id", "body").dropDuplicates(["class_id"])
-        pairs = verified(met.select("a", "b").distinct(), bodies.unionByName(texts.join(bodies, "class_id", "left_anti")))
+        pairs = verified(met.select("a", "b").distinct(), bodies.select("class_id", "body").unionByName(texts.join(bodies, "class_id", "left_anti")))
         named = pairs.join(met, ["a", "b"]).join(known.select(F.col("class_id").alias("a"), "label"), "a").where("weak = '' or weak = label")
         new = durable(named.groupBy(F.col("b").alias("class_id"), "weak").agg(F.min("label").alias("label")))
         if new.isEmpty():
             return out
         out = new if out is None else out.unionByName(new)
-        held = left.join(new, ["class_id", "weak"]).groupBy("class_id", "label").agg(*firsts[:3])
-        known = durable(held.join(bodies, "class_id"))
-        left = left.join(new.select("class_id", "weak"), ["class_id", "weak"], "left_anti")
+        known = durable(new.select("class_id", "label").distinct().join(bodies, "class_id"))
+        done = done.unionByName(new.select("class_id", "weak"))
 
 
-def _bodies(df: DataFrame) -> DataFrame:
-    """class_id, body (the main body) of ``df`` (class_id, text)."""
+def _bodies(df: DataFrame, one: DataFrame) -> DataFrame:
+    """class_id, simhash, size, prefix, body (the main body) of the rows of ``df`` (tbl, row_id, text) that ``one`` (class_id, tbl, row_id) names; a table. No other text is shuffled."""
+    key = F.xxhash64("tbl", "row_id").alias("key")
+    sent = df.sparkSession.sparkContext.broadcast(sieve(one.select(key)))
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([main_text(x or "") for x in b.column(1).to_pylist()], pa.string())], ["class_id", "body"])
-
-    return arrow_map(df, run, "class_id bigint, body string")
+            b = b.filter(pa.array(passing(sent.value, b.column(3).to_numpy())))
+            bodies = [main_text(x or "") for x in b.column(2).to_pylist()]
+            sets = [features(x) for x in bodies]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([simhash(f) - 2**63 for f in sets], pa.int64()), pa.array(map(len, sets), pa.int32()), _lists([f[: prefix_size(len(f))] for f in sets]), pa.array(bodies, pa.string())], ["tbl", "row_id", "simhash", "size", "prefix", "body"])
+
+    texts = arrow_map(df.select("tbl", "row_id", "text", key), run, "tbl string, row_id bigint, simhash bigint, size int, prefix array<bigint>, body string")
+    bodies = durable(texts.join(one, ["tbl", "row_id"]).select("class_id", "simhash", "size", "prefix", "body"))
+    sent.destroy()
+    return bodies
 
 
 def residue(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 from lexloom.llm import encode, leakage, mainbody, nearpairs, pieces, quality, queries, residue, sentences, sitelines
 from lexloom.llm.words import WORD, shingles, word_hashes
+from lexloom.operators import sieve
 from tests.test_core import BASE, same
 
 LONG = "A sentence of some words. " * 900
@@ -106,6 +107,40 @@ def test_what_has_no_cue_is_named_at_the_threshold_and_over_others(spark):
     assert got == {1: ("filler", "trusted"), 2: ("filler", "spread"), 3: ("filler", "spread")}
 
 
+def _shuffled(spark):
+    """Bytes that the stages of the session have written for shuffles so far."""
+    context, jvm = spark.sparkContext, spark.sparkContext._jvm
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(stages.apply(k).stageId(), stages.apply(k).attemptId()): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_texts_without_cues_are_not_shuffled_to_meet_a_few(spark):
+    r = random.Random(14)
+    words = ["".join(r.choice("bcdfg") + r.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    known = " ".join([*words[:30], "dummy text", *words[30:]])
+    rows = [("t", 1, known), ("t", 2, known.replace("dummy", "dumy"))] + [("t", k, " ".join("".join(r.choices("bcdfgaeiou", k=7)) for _ in range(2000))) for k in range(3, 103)]
+    before = _shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where what is known is too large for it
+    try:
+        got = {x.row_id: (x.label, x.how) for x in residue.residue(spark.createDataFrame(rows, "tbl string, row_id bigint, text string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {1: ("filler", "trusted"), 2: ("filler", "spread")}
+    written = sum(n for k, n in _shuffled(spark).items() if k not in before)
+    assert written < 0.2 * sum(len(x) for _, _, x in rows)
+
+
+def test_sieve_keeps_every_key(spark):
+    r = random.Random(15)
+    keys, others = ([r.randrange(-(2**63), 2**63) for _ in range(5000)] for _ in range(2))
+    table = sieve.sieve(spark.createDataFrame([(k,) for k in keys], "k bigint"))
+    assert sieve.passing(table, np.array(keys)).all() and sieve.passing(table, np.array(others)).mean() < 0.05
+    assert not sieve.passing(sieve.sieve(spark.createDataFrame([], "k bigint")), np.array(keys)).any()
+    df = spark.createDataFrame([(1, [keys[0], keys[1]]), (2, []), (3, [keys[2]])], "id bigint, k array<bigint>")
+    assert {(x.id, x.k) for x in sieve.exploded(df, spark.sparkContext.broadcast(table)).collect()} == {(1, keys[0]), (1, keys[1]), (3, keys[2])}
+
+
 @pytest.mark.parametrize("blank", ["<%= company_name %>", "#effective date#", "«RETENTION PERIOD»", "«brandName»", "{{x}}", "*|NAME|*", "@@a b@@", "[insert date]"])
 def test_blanks(blank):
     body = f"These terms bind {blank} and all who use the shop. We keep what {blank} tells us for a year, and no longer."
