@@ -115,20 +115,45 @@ def _shuffled(spark):
     return {(stages.apply(k).stageId(), stages.apply(k).attemptId()): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
 
 
-def test_texts_without_cues_are_not_shuffled_to_meet_a_few(spark):
+def _pages_without_cues():
+    """A filler, the same without its cue, and long texts without any."""
     r = random.Random(14)
     words = ["".join(r.choice("bcdfg") + r.choice("aeiou") for _ in range(4)) for _ in range(60)]
     known = " ".join([*words[:30], "dummy text", *words[30:]])
-    rows = [("t", 1, known), ("t", 2, known.replace("dummy", "dumy"))] + [("t", k, " ".join("".join(r.choices("bcdfgaeiou", k=7)) for _ in range(2000))) for k in range(3, 103)]
+    return [(1, known), (2, known.replace("dummy", "dumy"))] + [(k, " ".join("".join(r.choices("bcdfgaeiou", k=7)) for _ in range(2000))) for k in range(3, 103)]
+
+
+def _rows_and_shuffled(spark, df):
+    """The rows of what ``df()`` gives, and the bytes shuffled for them where no side of a join is small enough to be broadcast."""
     before = _shuffled(spark)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where what is known is too large for it
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        got = {x.row_id: (x.label, x.how) for x in residue.residue(spark.createDataFrame(rows, "tbl string, row_id bigint, text string")).collect()}
+        rows = df().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert got == {1: ("filler", "trusted"), 2: ("filler", "spread")}
-    written = sum(n for k, n in _shuffled(spark).items() if k not in before)
-    assert written < 0.2 * sum(len(x) for _, _, x in rows)
+    return rows, sum(n for k, n in _shuffled(spark).items() if k not in before)
+
+
+def test_texts_without_cues_are_not_shuffled_to_meet_a_few(spark):
+    pages = _pages_without_cues()
+    df = spark.createDataFrame([("t", *x) for x in pages], "tbl string, row_id bigint, text string")
+    got, written = _rows_and_shuffled(spark, lambda: residue.residue(df))
+    assert {x.row_id: (x.label, x.how) for x in got} == {1: ("filler", "trusted"), 2: ("filler", "spread")}
+    assert written < 0.2 * sum(len(x) for _, x in pages)
+
+
+def test_statistics_do_not_shuffle_texts(spark, tmp_path):
+    pages = _pages_without_cues()
+    for name, rows, schema in (
+        ("agent1_request", pages, "request_id bigint, browser_page_text string"),
+        ("firecrawl_scrape", [(1, "A page of a few words.")], "scrape_id bigint, content string"),
+        ("clause_analysis", [(1, "We keep what you tell us for a year.")], "row_id bigint, source_text string"),
+        ("common_word", [("the",), ("you",)], "word string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got, written = _rows_and_shuffled(spark, lambda: queries.p5_statistics(spark, str(tmp_path)))
+    assert len(got) == len(pages) + 1 and all(x.kind in ("prose", "residue") for x in got if x.row_id < 3)
+    assert written < 0.2 * sum(len(x) for _, x in pages)
 
 
 def test_sieve_keeps_every_key(spark):
