@@ -5,7 +5,6 @@ import functools
 import math
 import os
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -21,9 +20,10 @@ from lexloom.operators.cluster import arrow_map, durable
 from lexloom.operators.graph import components
 from lexloom.operators.pairs import first_of, meet
 
-SHORT, RATIO, WINDOW, ALIKE = 1000, 0.90, 20_000, 0.96
-#: A change of a twenty-fifth of the characters, spread as widely as can be, leaves a third of the words of common lengths.
-LEAST_COMMON = 0.3
+SHORT, RATIO, ALIKE = 1000, 0.90, 0.96
+SEQUENCE = 5  #: characters of the sequences that bound a ratio from above
+#: Products of lengths up to which the longest common subsequence, which bounds the ratio closer, takes less time than the ratio.
+BOUNDED = 20_000**2
 BANDS, ROWS, SHINGLE = 16, 2, 3
 LEAST_CONTAINED, GRAM = 80, 6
 
@@ -35,29 +35,44 @@ _TOKEN = re.compile(r"[a-z0-9]+|\s|[^\sa-z0-9]")
 DIRECT = 20_000
 
 
-def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """i, j, n of the longest block of ``a`` that stands in ``b`` too, the first in ``a`` and then in ``b`` of equal ones.
+def _longest(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """i, j, n of the longest block of ``a`` that stands in ``b`` too, the first in ``a`` and then in ``b`` of equal ones; then of those
+    of its length the next beyond it in both, and so on: what lies between them has shorter ones only. None is longer than ``most``.
 
     ``a``, ``b``: 64-bit hashes. A block has its beginnings, so its length is found by halving, with a hash of each window."""
 
     def windows(sums: np.ndarray, n: int) -> np.ndarray:
         return sums[n:] - sums[:-n] * powers[n]
 
-    powers = np.full(min(len(a), len(b)) + 1, _BASE)
+    powers = np.full(min(len(a), len(b), most) + 1, _BASE)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
     sums = [_rolled(a), _rolled(b)]
-    low, high, at = 0, len(powers) - 1, None
+    low, high, found = 0, len(powers) - 1, None
     while low < high:
         n = (low + high + 1) // 2
         x, y = (windows(s, n) for s in sums)
         shared = np.isin(x, y, kind="sort")
-        i = int(shared.argmax())
-        if shared[i]:
-            low, at = n, (i, int((y == x[i]).argmax()), n)
+        if shared.any():
+            low, found = n, (x, y, shared)
         else:
             high = n - 1
-    return at or (0, 0, 0)
+    if not found:
+        return []
+    x, y, shared = found
+    places, order = np.flatnonzero(shared), np.argsort(y, kind="stable")
+    begin, end = (np.searchsorted(y[order], x[places], side).tolist() for side in ("left", "right"))
+    out, at, k = [], 0, 0
+    while at < len(places) and k <= len(y):
+        # the places in ``b`` of one window ascend
+        if order[end[at] - 1] < k:
+            at += 1
+            continue
+        same = order[begin[at] : end[at]]
+        i, j = int(places[at]), int(same[np.searchsorted(same, k)])
+        out.append((i, j, low))
+        at, k = int(np.searchsorted(places, i + low)), j + low
+    return out
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -78,19 +93,18 @@ def matching_blocks(p: list[str] | str, q: list[str] | str) -> list[tuple[int, i
     if len(p) * len(q) <= DIRECT:
         return difflib.SequenceMatcher(None, p, q, autojunk=False).get_matching_blocks()[:-1]
     a, b = (np.fromiter((xxhash.xxh3_64_intdigest(x) for x in s), np.uint64, len(s)) for s in (p, q))
-    out, open_ = [], [(0, len(p), 0, len(q))]
+    out, open_ = [], [(0, len(p), 0, len(q), len(p))]
     while open_:
-        i, j, k, z = open_.pop()
+        i, j, k, z, most = open_.pop()
         if (j - i) * (z - k) <= DIRECT:
             out += [(i + x, k + y, n) for x, y, n in difflib.SequenceMatcher(None, p[i:j], q[k:z], autojunk=False).get_matching_blocks()[:-1]]
             continue
-        x, y, n = _longest(a[i:j], b[k:z])
-        if n:
-            out.append((i + x, k + y, n))
-            if x and y:
-                open_.append((i, i + x, k, k + y))
-            if i + x + n < j and k + y + n < z:
-                open_.append((i + x + n, j, k + y + n, z))
+        found = [(i + x, k + y, n) for x, y, n in _longest(a[i:j], b[k:z], most)]
+        out += found
+        for x, y, n in [*found, (j, z, 0)] if found else []:
+            if i < x and k < y:
+                open_.append((i, x, k, y, found[0][2] - 1))
+            i, k = x + n, y + n
     return sorted(out)
 
 
@@ -101,8 +115,7 @@ def matching_ratio(a: str, b: str) -> float:
     same = i = k = 0
     for j, z, n in [*matching_blocks(p, q), (len(p), len(q), 0)]:
         if i < j and k < z:
-            x, y = "".join(p[i:j]), "".join(q[k:z])
-            same += sum(m for _, _, m in matching_blocks(x, y)) if max(len(x), len(y)) < SHORT else 0
+            same += sum(m for _, _, m in matching_blocks("".join(p[i:j]), "".join(q[k:z])))
         same += sum(map(len, p[j : j + n]))
         i, k = j + n, z + n
     return 2 * same / max(1, len(a) + len(b))
@@ -132,13 +145,36 @@ def subsequence(a: str, b: str, least: float = 0) -> int:
 
 def _places(a: str) -> dict[str, int]:
     """For each character of ``a`` a number with a bit at each of its places."""
-    points = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = _points(a)
     return {chr(c): int.from_bytes(np.packbits(points == c, bitorder="little").tobytes(), "little") for c in np.unique(points)}
 
 
+def _points(x: str) -> np.ndarray:
+    return np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def sequences_allow(a: str, b: str, least: float) -> bool:
+    """Whether common sequences of SEQUENCE characters leave room for a common subsequence of ``least``; False is certain.
+
+    A character of ``a`` outside of it ends at most SEQUENCE of the sequences of ``a``, one of ``b`` parts at most one less. Sequences are
+    counted by hash, and those that fall together only add to what is common."""
+    size = min(1 << (4 * max(len(a), len(b))).bit_length(), 1 << 22)
+    counts = []
+    for x in map(_points, (a, b)):
+        n = max(0, len(x) - SEQUENCE + 1)
+        h = np.zeros(n, np.uint64)
+        for k in range(SEQUENCE):
+            h = h * _BASE + x[k : k + n]
+        counts.append(np.bincount((_mixed(h) & np.uint64(size - 1)).astype(np.int64), minlength=size))
+    m = math.ceil(least - 1e-6)
+    out_a, out_b = len(a) - m, len(b) - m
+    need = max(len(a) - SEQUENCE * out_a - (SEQUENCE - 1) * out_b, len(b) - SEQUENCE * out_b - (SEQUENCE - 1) * out_a) - SEQUENCE + 1
+    return out_a >= 0 and out_b >= 0 and int(np.minimum(*counts).sum()) >= need
+
+
 def similar(a: str, b: str) -> bool:
     """Whether two normal forms (``undated``) are of one document: equal if the shorter has under SHORT characters, else of about
-    one length and of a matching ratio of ALIKE; of longer ones than WINDOW both ends are compared."""
+    one length and, over all of both, of a matching ratio of ALIKE."""
     if not a or not b:
         return False
     if a == b:
@@ -146,14 +182,9 @@ def similar(a: str, b: str) -> bool:
     short, long = sorted((len(a), len(b)))
     if short < SHORT or short < RATIO * long:
         return False
-    half = WINDOW // 2
-    a, b = (x if len(x) <= WINDOW else f"{x[:half]} {x[-half:]}" for x in (a, b))
-    common = sum((Counter(a.split()) & Counter(b.split())).values())
-    if common < LEAST_COMMON * max(a.count(" "), b.count(" ")):
-        return False
-    # matching blocks are a common subsequence, so the longest one bounds the ratio from above; characters in any order bound that
+    # matching blocks are a common subsequence, so the longest one bounds the ratio from above; sequences that are common bound that
     least = ALIKE * (len(a) + len(b)) / 2
-    if sum((Counter(a) & Counter(b)).values()) < least - 1e-6 or subsequence(a, b, least) < least - 1e-6:
+    if not sequences_allow(a, b, least) or len(a) * len(b) <= BOUNDED and subsequence(a, b, least) < least - 1e-6:
         return False
     return matching_ratio(a, b) >= ALIKE
 

@@ -198,6 +198,54 @@ def test_long_documents_are_compared_in_time():
     assert time.process_time() - began < 2
 
 
+def _words(r, n):
+    return ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def test_documents_are_compared_as_a_whole(spark):
+    r = random.Random(11)
+    head, middle, other, tail = (" ".join(_words(r, n)) for n in (1_500, 800, 800, 1_500))
+    a, b = f"{head} {middle} {tail}", f"{head} {other} {tail}"
+    assert not documents.similar(a, b)  # both ends of 10,000 characters are the same
+    c = " ".join(_words(r, 6_000))
+    d = " ".join(_words(r, 180)) + c[180 * 7 - 1 :]
+    assert documents.similar(c, d)  # of the first 20,000 characters too many differ, of all of them few
+    rows = [("s", k, f"https://a.example/{k}", t) for k, t in enumerate((a, b, c, d))]
+    got = documents.deduped(spark.createDataFrame(rows, "site string, id bigint, url string, content string"), "site", "id", "url", "content")
+    assert {x.id: x.group for x in got.collect()} == {0: 0, 1: 1, 2: 2}
+
+
+def test_long_words_are_compared_to_their_characters():
+    r = random.Random(12)
+    long = "".join(r.choice("0123456789abcdef") for _ in range(1_500))
+    assert documents.matching_ratio(f"key {long}", f"key {long[:700]}-{long[701:]}") > 0.99
+    words = ["".join(r.choice("abcdefghij") for _ in range(40)) for _ in range(60)]
+    assert documents.similar(" ".join(words), " ".join(f"{x[:20]}z{x[21:]}" if k % 4 else x for k, x in enumerate(words)))
+
+
+def test_changes_in_many_lines_are_compared_in_time():
+    lines = [f"item {k:06d} of the goods that the shop holds." for k in range(1_400)]
+    began = time.process_time()
+    assert documents.similar(" ".join(lines), " ".join(x if k % 4 else x.replace("goods", "wares") for k, x in enumerate(lines)))
+    assert time.process_time() - began < 2
+
+
+def test_sequences_bound_common_subsequences():
+    r = random.Random(13)
+    refused = 0
+    for n in (1, 4, 5, 30, 200):
+        for _ in range(40):
+            a = [r.choice("abcdefgh ") for _ in range(n)]
+            b = list(a)
+            for _ in range(r.choice((0, 1, 9))):
+                k = r.randrange(n)
+                b[k : k + r.randrange(4)] = [r.choice("abcdefgh ") for _ in range(r.randrange(4))]
+            a, b = "".join(a), "".join(b)
+            assert documents.sequences_allow(a, b, documents.subsequence(a, b))
+            refused += not documents.sequences_allow(a, "".join(reversed(b)), 0.96 * (len(a) + len(b)) / 2)
+    assert refused > 20
+
+
 def test_documents_deduped(spark):
     long = "Terms of the shop. " + " ".join(f"clause {k} holds for part {k * 7} of the goods." for k in range(60))
     rows = [
